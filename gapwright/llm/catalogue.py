@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixity, token_files, url_filter
+from . import fixity, line_dedup, quality_rules, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
+    "op2_line_dedup": line_dedup.query,
+    "op3_quality_rules": quality_rules.query,
     "op5_warc_fixity": fixity.query,
     "op10_url_filter": url_filter.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": fixity.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": fixity.ORACLE_SQL}
