@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fixity, language_id, line_dedup, quality_rules, token_files, url_filter
+from . import decontaminate, fixity, language_id, line_dedup, near_dups, quality_rules, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_fixity": fixity.query,
     "op7_language_id": language_id.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_near_dups": near_dups.query,
     "op10_url_filter": url_filter.query,
 }
 
