@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fixity, language_id, line_dedup, near_dups, quality_rules, token_files, url_filter
+from . import decontaminate, fixity, language_id, line_dedup, near_dups, pii, quality_rules, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
     "op2_line_dedup": line_dedup.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_pii": pii.query,
     "op5_warc_fixity": fixity.query,
     "op7_language_id": language_id.query,
     "op8_decontaminate": decontaminate.query,
