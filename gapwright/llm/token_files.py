@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +27,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import shared_dir, table
-from .textkernel import buffers
+from .textkernel import LOWER, buffers, slices
 
-#: distinct words whose ids a worker keeps; the cache starts anew when full
-WORD_CACHE = 400_000
+#: distinct words whose ids a worker keeps in each of two generations; a full one replaces the older
+WORD_CACHE = 600_000
 NULL_KEY = np.iinfo(np.int64).min
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+#: words of a-z and the precomposed small letters of Latin-1, which no normalization changes
+_SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_STOP[[44, 46]] = True
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Characters that byte-level tokenizers write for bytes: itself where visible in Latin-1, else from U+0100 on in order."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Encodes a text chunk by chunk, remembering the ids of each chunk between ASCII white space.
+    """Encodes texts word by word and remembers the ids of each word.
 
-    For a tokenizer that drops white space and never looks across it, this equals encoding the
-    whole text; :meth:`for_file` refuses any other.
+    A tokenizer that folds case, drops white space and splits letters from other characters gives a
+    text the ids of its words between ASCII white space, in whatever case, and of a word and a stop
+    after it the ids of both. Words of small letters then go to its model directly. Other
+    tokenizers, and texts with one of its special strings, are encoded in the plain way.
     """
 
     def __init__(self, path: str):
@@ -48,9 +66,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         kind = json.loads(self.tokenizer.to_str())
-        split = [p for p in (kind.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"]
-        self.by_word = bool(split) and split[0]["behavior"] == "Removed" and split[0]["invert"] and "\\s" in str(split[0]["pattern"])
-        self.cache: dict[bytes, bytes] = {}
+        steps = [(n["type"], n.get("content")) for n in (kind["normalizer"] or {}).get("normalizers", [])]
+        parts = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = [p["pattern"].get("Regex", "") for p in parts if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]]
+        self.by_word = steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and len(split) == 1 and split[0].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and [p["type"] for p in parts] == ["Split", "ByteLevel"] and not parts[1]["add_prefix_space"]
+        self.special = [t["content"].lower().encode() for t in kind["added_tokens"]]
+        self.alphabet = byte_alphabet()
+        self.words = _Words(self, {})
 
     @classmethod
     def for_file(cls, path: str) -> "WordEncoder":
@@ -58,21 +80,41 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def encode(self, text: bytes) -> bytes:
-        if not self.by_word:
-            ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.array(ids, self.dtype).tobytes()
-        words = text.split()
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > WORD_CACHE:
-                cache.clear()
-                new = list(set(words))
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, encoded, strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(cache.__getitem__, words))
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+
+    def encode_many(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The ids of each text as the bytes of an array of ``dtype``."""
+        lower = LOWER[raw]
+        whole = lower.tobytes()
+        if not self.by_word or any(s in whole for s in self.special):
+            data = raw.tobytes()
+            return self._plain([data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)])
+        stops = np.flatnonzero(_STOP[lower[1:]] & _ALNUM[lower[:-1]]) + 1
+        data, at = np.insert(lower, stops, 32).tobytes(), (off + np.searchsorted(stops, off)).tolist()
+        if len(self.words) > WORD_CACHE:
+            self.words = _Words(self, self.words)
+        get = self.words.__getitem__
+        return [b"".join(map(get, data[a:b].split())) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+class _Words(dict):
+    """Ids of words, encoded when first met; a generation takes over from the one before what is met again."""
+
+    def __init__(self, encoder: WordEncoder, before: dict[bytes, bytes]):
+        self.code = "H" if encoder.dtype.itemsize == 2 else "I"
+        self.encoder, self.tokenize, self.before = encoder, encoder.tokenizer.model.tokenize, dict(before)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            if _SMALL_LETTERS(word):
+                ids = array(self.code, [t.id for t in self.tokenize(word.decode("latin-1").translate(self.encoder.alphabet))]).tobytes()
+            else:
+                ids = self.encoder._plain([word])[0]
+        self[word] = ids
+        return ids
 
 
 def _put(fs: pafs.FileSystem, path: str, parts: list) -> None:
@@ -104,11 +146,10 @@ def write_token_files(docs: DataFrame, root: str, tokenizer_path: str, end_id: i
         with fs.open_output_stream(tmp) as out:
             for batch in batches:
                 raw, off = buffers(batch.column("text"))
-                data = raw.tobytes()
-                for i in range(len(off) - 1):
-                    ids = encoder.encode(data[off[i] : off[i + 1]]) + end
-                    out.write(ids)
-                    counts.append(len(ids) // encoder.dtype.itemsize)
+                for i, j in slices(off):
+                    ids = encoder.encode_many(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                    out.write(end.join([*ids, b""]))
+                    counts += [len(x) // encoder.dtype.itemsize + 1 for x in ids]
                 keys.append(batch.column("key").fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False))
         fs.move(tmp, f"{stem}.ids")
         offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]) if counts else np.zeros(1, np.int64)
