@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fixity, language_id, line_dedup, near_dups, pii, quality_rules, token_files, url_filter
+from . import decontaminate, fixity, language_id, line_dedup, merge_dropout, near_dups, pii, quality_rules, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.query,
     "op4_pii": pii.query,
     "op5_warc_fixity": fixity.query,
+    "op6_merge_dropout": merge_dropout.query,
     "op7_language_id": language_id.query,
     "op8_decontaminate": decontaminate.query,
     "op9_near_dups": near_dups.query,
