@@ -33,9 +33,9 @@ from .storage import table
 MARK = "▁"
 #: stands for a space mark of the text; a lone surrogate, which no text can hold
 OWN_MARK = "\ud800"
-RATE, SEED, VARIANTS = 0.1, 17, 8
+RATE, SEED, VARIANTS = 0.1, 17, 4
 #: words a worker remembers in each of two generations
-WORD_CACHE = 500_000
+WORD_CACHE = 600_000
 _CHUNKS = re.compile(r"\n| *[^ \n]+| +").findall
 
 _segmenters: dict[tuple, "Segmenter"] = {}
@@ -56,6 +56,8 @@ class Segmenter:
         if "\n" in plain:
             raise ValueError("the model must not hold a line end in its pieces")
         self.id = plain
+        #: no piece goes on from a letter to a stop, so the two can be segmented apart
+        self.stops_apart = not any(a.isalpha() and b in ".," for p in plain for a, b in zip(p, p[1:], strict=False))
         #: the place in merge order: higher scores first
         self.rank = {p: -model.get_score(i) for p, i in plain.items() if len(p) > 1}
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
@@ -130,6 +132,8 @@ class _Words(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.before.get(chunk)
+        if ids is None and self.segmenter.stops_apart and chunk[-1] in ".," and chunk[-2:-1].isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
         if ids is None:
             ids = array(self.segmenter.code, self.segmenter.segment(chunk, self.variant)).tobytes()
         self[chunk] = ids
