@@ -9,9 +9,11 @@ of two sketches estimates their similarity, and full sets confirm each link.
 
 Copies (equal sets) are one vertex. Links wanted are those that join components, so groups of near
 copies are not expanded into all pairs: first each vertex meets the least vertex of its buckets,
-then vertices still apart meet one vertex of the bucket's largest component a round, and last every
-pair in a bucket that is still in two components is tried. So each pair that shares a bucket is
-linked, already in one component, or refused on its own figures.
+then vertices still apart meet one vertex of the bucket's largest component a round. What is left
+forms families: the members of all buckets with the same largest component. The guests of a family
+(those outside of that component) meet all its members in blocks of bounded size, compared inside a
+task: sketches first, then the full sets of those with a likely partner; only links come out. So
+each pair that shares a bucket is linked, already in one component, or refused on its own figures.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and kept; rows equal
 in key are one vertex; rows with a null key are linked with nothing and kept, their component null;
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +39,10 @@ BANDS = REGISTERS // ROWS
 SCALE, RATE, TOP = 1.001, 20.0, 65_535
 #: candidates whose estimate is lower by this much than the similarity asked for are refused; five standard errors
 MARGIN = 0.16
-#: rounds in which vertices meet the largest component of a bucket before all pairs left are tried
-MEETINGS = 3
+#: rounds in which vertices meet the largest component of a bucket before families meet in blocks
+MEETINGS = 2
+#: members and guests of a family that a task compares at once, about
+BLOCK = 512
 #: ids of 8 bytes that may be broadcast; beyond it the join is shuffled
 IDS_BROADCAST = 500_000
 
@@ -215,6 +220,87 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(apart, "bucket", "left_semi"), "open-buckets")
 
 
+def _families(rest: DataFrame) -> DataFrame:
+    """Members (family, doc_id, label) of the open buckets by their largest component; guests have another label."""
+    size = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    host = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("family"))
+    return rest.join(host, "bucket").select("family", "doc_id", "label").distinct()
+
+
+def _in_blocks(families: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` of (guests, members) of every pair of blocks of a family, rows with the columns of ``data`` (by doc_id).
+
+    A guest goes to each member block and a member to each guest block, so a group has about
+    2 * BLOCK rows however large its family is.
+    """
+    counts = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("m"), F.ceil(F.count_if(F.col("label") != F.col("family")) / BLOCK).alias("g")).where("g > 0")
+    rows = families.join(counts, "family")
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = rows.select("family", "doc_id", "label", F.lit(False).alias("guest"), every("g").alias("i"), place("m").alias("j"))
+    guests = rows.where(F.col("label") != F.col("family")).select("family", "doc_id", "label", F.lit(True).alias("guest"), place("g").alias("i"), every("m").alias("j"))
+    return members.unionByName(guests).join(data, "doc_id").groupBy("family", "i", "j").applyInArrow(compare, schema)
+
+
+def _pairs_apart(block: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
+    """Guests, members, and which of them (guests by members) have different labels."""
+    guest = block.column("guest")
+    g, m = block.filter(guest), block.filter(pa.compute.invert(guest))
+    label = lambda t: t.column("label").to_numpy()
+    return g, m, label(g)[:, None] != label(m)[None, :]
+
+
+def _likely_in_blocks(families: DataFrame, vertices: DataFrame, similarity: float) -> DataFrame:
+    """Members (family, doc_id) with a partner in another component whose estimate reaches the similarity less the margin."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        g, m, apart = _pairs_apart(block)
+        regs = [np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS) for t in (g, m)]
+        sizes = [t.column("n_shingles").to_numpy().astype(float) for t in (g, m)]
+        hit_g, hit_m = np.zeros(g.num_rows, bool), np.zeros(m.num_rows, bool)
+        for i in range(g.num_rows):
+            fits = np.flatnonzero(apart[i] & (np.minimum(sizes[1], sizes[0][i]) >= (similarity - MARGIN) * np.maximum(sizes[1], sizes[0][i])))
+            if len(fits):
+                near = fits[estimate_similarity(np.broadcast_to(regs[0][i], (len(fits), REGISTERS)), regs[1][fits], np.full(len(fits), sizes[0][i]), sizes[1][fits]) >= similarity - MARGIN]
+                hit_g[i] = len(near) > 0
+                hit_m[near] = True
+        out = pa.concat_tables([g.select(["family", "doc_id"]).filter(pa.array(hit_g)), m.select(["family", "doc_id"]).filter(pa.array(hit_m))])
+        return out
+
+    return _in_blocks(families, vertices.select("doc_id", "n_shingles", "registers"), compare, "family long, doc_id long").distinct()
+
+
+def _links_in_blocks(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A confirmed link (a, b) of each guest to each component it is linked with."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        g, m, apart = _pairs_apart(block)
+        of = lambda t: [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+        own, other = of(g), of(m)
+        if not own or not other:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(x) for x in other])
+        start = np.cumsum(size) - size
+        # tokens as places in a table of marks: a guest marks its own, and the marks under each member are counted
+        known, place = np.unique(np.concatenate(other), return_inverse=True)
+        mark = np.zeros(len(known) + 1, np.int32)
+        ids_g, ids_m, labels = g.column("doc_id").to_pylist(), m.column("doc_id").to_pylist(), m.column("label").to_numpy()
+        a, b = [], []
+        for i, x in enumerate(own):
+            at = np.searchsorted(known, x)
+            at = at[known[np.minimum(at, len(known) - 1)] == x]
+            mark[at] = 1
+            common = np.add.reduceat(mark[place], start)
+            mark[at] = 0
+            linked = np.flatnonzero(apart[i] & (100 * common >= percent * (size + len(x) - common)))
+            for k in linked[np.unique(labels[linked], return_index=True)[1]]:
+                a.append(ids_g[i])
+                b.append(ids_m[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _in_blocks(families, sets, compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id (least key of the component) and kept."""
     every = stored(sketches(docs, k, key, text), "sketches")
@@ -226,29 +312,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket", "least")
     members = stored(bands.join(shared, "bucket"), "bucket-members")
     sets = stored(sets_of(docs, stored(members.select("doc_id").distinct(), "members"), k, key, text), "sets")
+    similarity = percent / 100
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(_likely(pairs, vertices, percent / 100), sets, percent), "links")
+        return stored(_confirmed(_likely(pairs, vertices, similarity), sets, percent), "links")
 
-    labels = members.select("doc_id", F.col("doc_id").alias("label")).distinct()
+    labels = stored(members.select("doc_id", F.col("doc_id").alias("label")).distinct(), "components")
     first = members.where("least < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
-    labels = _merged(stored(labels, "components"), linked(first))
-    members = members.drop("least")
+    labels = _merged(labels, linked(first))
+    apart = _open_buckets(members.drop("least"), labels)
     for meeting in range(MEETINGS):
-        members = _open_buckets(members, labels).drop("label")
-        if members.isEmpty():
+        if apart.isEmpty():
             break
-        apart = members.join(labels, "doc_id")
         size = apart.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(meeting)).alias("h"), "doc_id")).alias("pick"))
         host = size.groupBy("bucket").agg(F.max(F.struct("n", "label", "pick.doc_id")).alias("m")).select("bucket", F.col("m.label").alias("host"), F.col("m.doc_id").alias("a"))
         guests = apart.join(host, "bucket").where("label <> host").groupBy(F.col("doc_id").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(meeting))).alias("a")).select("a", "b")
         labels = _merged(labels, linked(guests))
-    else:
-        rest = _open_buckets(members, labels)
-        if not rest.isEmpty():
-            # what the largest component of a bucket holds meets the others only, not itself
-            left, right = (rest.select("bucket", F.col("doc_id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-            labels = _merged(labels, linked(left.join(right, "bucket").where("la <> lb AND a < b").select("a", "b").distinct()))
+        apart = _open_buckets(apart.drop("label"), labels)
+    if not apart.isEmpty():
+        families = stored(_families(apart), "families")
+        likely = stored(_likely_in_blocks(families, vertices, similarity), "likely")
+        labels = _merged(labels, stored(_links_in_blocks(families.join(likely, ["family", "doc_id"], "left_semi"), sets, percent), "links"))
 
     vertex = vertices.join(labels, "doc_id", "left").select(*copies, F.coalesce("label", "doc_id").alias("component"))
     # rows that share a key share a component, whatever their sets
