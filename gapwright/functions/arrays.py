@@ -126,8 +126,13 @@ def seasonal(z: Column, period: Column) -> Column:
 
 def deseasonalize(z: Column, period: Column) -> Column:
     """``z`` less its seasonal part; the trend stays. Shorter than two periods is an error."""
-    checked = F.when(F.size(z) < 2 * period, F.raise_error(F.lit("a decomposition needs two full periods")).cast("array<double>")).otherwise(z)
-    return let(checked, lambda x: let(seasonal(x, period), lambda s: F.transform(x, lambda v, t: v - F.get(s, (t % period).cast("int")))))
+
+    def of(given: Column) -> Column:
+        x, p = given["z"], given["p"]
+        whole = F.when(F.size(x) < 2 * p, F.raise_error(F.lit("a decomposition needs two full periods")).cast("array<double>")).otherwise(seasonal(x, p))
+        return let(whole, lambda s: F.transform(x, lambda v, t: v - F.get(s, (t % p).cast("int"))))
+
+    return let(F.struct(z.alias("z"), period.alias("p")), of)
 
 
 def project_period(period: Column, source: Column, target: Column) -> Column:
@@ -148,34 +153,39 @@ def local_z(a: Column, window: int = 25) -> Column:
 
 def temporal_features(a: Column, window: int = 25) -> Column:
     """(t_norm, value, delta, local_z) of each point."""
-    n = F.size(a)
-    t_norm = F.transform(a, lambda x, t: t / F.greatest(n - 1, F.lit(1)))
-    delta = F.transform(a, lambda x, t: x - F.coalesce(F.get(a, t - 1), x))
-    stacked = F.arrays_zip(t_norm.alias("t_norm"), a.alias("value"), delta.alias("delta"), local_z(a, window).alias("local_z"))
-    return F.transform(stacked, lambda s: F.struct(s["t_norm"].alias("t_norm"), s["value"].alias("deseason"), s["delta"].alias("delta"), s["local_z"].alias("local_z")))
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        near = local_z(v, window)
+        place = lambda t: t / F.greatest(n - 1, F.lit(1))
+        return let(near, lambda z: F.transform(v, lambda x, t: F.struct(place(t).alias("t_norm"), x.alias("deseason"), (x - F.coalesce(F.get(v, t - 1), x)).alias("delta"), F.get(z, t).alias("local_z"))))
+
+    return let(a, of)
 
 
 def resample(a: Column, m: Column) -> Column:
     """Linear interpolation on ``m`` points with both ends kept."""
-    n = F.size(a)
 
-    def at(j: Column) -> Column:
+    def of(v: Column) -> Column:
+        n = F.size(v)
+
         def lerp(x: Column) -> Column:
             lo = F.floor(x).cast("int")
             hi = F.least(lo + 1, n - 1)
-            return F.get(a, lo) + (x - lo) * (F.get(a, hi) - F.get(a, lo))
+            return F.get(v, lo) + (x - lo) * (F.get(v, hi) - F.get(v, lo))
 
-        return let(j * (n - 1) / F.greatest(m - 1, F.lit(1)), lerp)
+        return F.transform(indices(m), lambda j: let(j * (n - 1) / F.greatest(m - 1, F.lit(1)), lerp))
 
-    return F.transform(indices(m), at)
+    return let(a, of)
 
 
 def smooth(a: Column, kernel: int = 5) -> Column:
     """Box average over an odd kernel, end values repeated beyond the ends."""
     if kernel % 2 == 0:
         raise ValueError("the kernel must be odd")
-    half, n = kernel // 2, F.size(a)
-    return F.transform(a, lambda x, t: sum((F.get(a, F.least(F.greatest(t + o, F.lit(0)), n - 1)) for o in range(-half, half + 1)), F.lit(0.0)) / float(kernel))
+    half = kernel // 2
+    box = lambda v, t: sum((F.get(v, F.least(F.greatest(t + o, F.lit(0)), F.size(v) - 1)) for o in range(-half, half + 1)), F.lit(0.0)) / float(kernel)
+    return let(a, lambda v: F.transform(v, lambda x, t: box(v, t)))
 
 
 def expected_coordinate(prob: Column, left: Column, right: Column) -> Column:

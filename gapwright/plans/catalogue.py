@@ -6,5 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries
+from .oracle import ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {name: getattr(queries, name) for name in ORACLE_SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries.package(spark, sf_dir)
