@@ -35,8 +35,10 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 RATE, SEED, VARIANTS = 0.1, 17, 4
 #: words a worker remembers in each of two generations
-WORD_CACHE = 600_000
-_CHUNKS = re.compile(r"\n| *[^ \n]+| +").findall
+WORD_CACHE = 1_200_000
+#: characters of a word up to which its agenda is a plain list
+SHORT = 48
+_CHUNKS = re.compile(r"\n[^ \n]*| ( *[^ \n]*)").finditer
 
 _segmenters: dict[tuple, "Segmenter"] = {}
 
@@ -59,7 +61,9 @@ class Segmenter:
         #: no piece goes on from a letter to a stop, so the two can be segmented apart
         self.stops_apart = not any(a.isalpha() and b in ".," for p in plain for a, b in zip(p, p[1:], strict=False))
         #: the place in merge order: higher scores first
+        self.none = float("inf")
         self.rank = {p: -model.get_score(i) for p, i in plain.items() if len(p) > 1}
+        self.salt = {p: i * 0xC2B2AE35 & 0xFFFFFFFF for p, i in plain.items()}
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.threshold = int(rate * 2**32)
         self.seed = seed
@@ -73,24 +77,60 @@ class Segmenter:
         return _segmenters[args]
 
     def segment(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one word with the spaces before it."""
-        sym = [MARK if c == " " else OWN_MARK if c == MARK else c for c in chunk]
-        n, rank, ids, threshold = len(sym), self.rank, self.id, self.threshold
+        """Ids of one word and the space before it, or of a line end and the word after it."""
+        sym = [MARK if c == " " else OWN_MARK if c == MARK else c for c in (chunk if chunk[:1] == "\n" else " " + chunk)]
+        key = zlib.crc32(chunk.encode(), self.seed * 0x9E3779B1 + variant * 0x85EBCA6B & 0xFFFFFFFF)
+        sym = self._merge_short(sym, key) if len(sym) <= SHORT else self._merge_long(sym, key)
+        out, ids = [], self.id
+        for s in sym:
+            if (x := ids.get(s)) is not None:
+                out.append(x)
+            else:
+                out += [self.byte[b] for b in s.replace(OWN_MARK, MARK).encode()]
+        return out
+
+    def _skips(self, key: int, place: int, merged: str) -> bool:
+        """The keyed hash of a candidate against the rate; ``place`` is where its left piece begins."""
+        h = key ^ (place * 0x9E3779B1 + self.salt[merged]) & 0xFFFFFFFF
+        return (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF < self.threshold
+
+    def _merge_short(self, sym: list[str], key: int) -> list[str]:
+        """The agenda as a list of scores beside the pieces: its first minimum is the next candidate."""
+        get, none = self.rank.get, self.none
+        agenda = [get(a + b, none) for a, b in zip(sym, sym[1:], strict=False)]
+        place = list(range(len(sym)))
+        salt, threshold = self.salt, self.threshold
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            merged = sym[i] + sym[i + 1]
+            if threshold:
+                # as in _skips, without the call
+                h = key ^ (place[i] * 0x9E3779B1 + salt[merged]) & 0xFFFFFFFF
+                if (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF < threshold:
+                    agenda[i] = none
+                    continue
+            sym[i] = merged
+            del sym[i + 1]
+            del place[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(merged + sym[i + 1], none)
+            if i:
+                agenda[i - 1] = get(sym[i - 1] + merged, none)
+        return sym
+
+    def _merge_long(self, sym: list[str], key: int) -> list[str]:
+        """The same with a heap and links between pieces, for words of any length."""
+        n, rank = len(sym), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, i + 1, len(sym[i]) + len(sym[i + 1])) for i in range(n - 1) if (r := rank.get(sym[i] + sym[i + 1])) is not None]
         heapify(agenda)
-        key = zlib.crc32(chunk.encode(), self.seed * 0x9E3779B1 + variant * 0x85EBCA6B & 0xFFFFFFFF)
         while agenda:
             _, i, j, size = heappop(agenda)
             a, b = sym[i], sym[j]
             if not a or not b or len(a) + len(b) != size:
                 continue
-            if threshold:
-                h = key + i * 0x9E3779B1 + ids.get(a, 0) * 0xC2B2AE35 + ids.get(b, 0) * 0x27D4EB2F & 0xFFFFFFFF
-                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-                h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
-                if h ^ h >> 15 < threshold:
-                    continue
+            if self.threshold and self._skips(key, i, a + b):
+                continue
             a += b
             sym[i], sym[j] = a, ""
             k = after[j]
@@ -102,14 +142,7 @@ class Segmenter:
             k = before[i]
             if k >= 0 and (r := rank.get(sym[k] + a)) is not None:
                 heappush(agenda, (r, k, i, len(sym[k]) + len(a)))
-        out = []
-        for s in sym:
-            if s:
-                if (x := ids.get(s)) is not None:
-                    out.append(x)
-                else:
-                    out += [self.byte[b] for b in s.replace(OWN_MARK, MARK).encode()]
-        return out
+        return [s for s in sym if s]
 
     def encode(self, text: str, variant: int = 0) -> array:
         if not text:
@@ -117,7 +150,11 @@ class Segmenter:
         words = self.words.get(variant)
         if words is None or len(words) > WORD_CACHE // VARIANTS:
             words = self.words[variant] = _Words(self, variant, words or {})
-        return array(self.code, b"".join(map(words.__getitem__, _CHUNKS(" " + text))))
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            chunks = [m[0] if m[1] is None else m[1] for m in _CHUNKS(" " + text)]
+        else:
+            chunks = text.replace("\n", " \n").split(" ")
+        return array(self.code, b"".join(map(words.__getitem__, chunks)))
 
     def decode(self, ids) -> str:
         """The text; the space that encoding puts in front is taken off."""
@@ -129,11 +166,12 @@ class _Words(dict):
 
     def __init__(self, segmenter: Segmenter, variant: int, before: dict[str, bytes]):
         self.segmenter, self.variant, self.before = segmenter, variant, dict(before)
+        self.stops = {c: array(segmenter.code, [segmenter.id[c]]).tobytes() for c in ".," if c in segmenter.id}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.before.get(chunk)
-        if ids is None and self.segmenter.stops_apart and chunk[-1] in ".," and chunk[-2:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
+        if ids is None and self.segmenter.stops_apart and chunk[-1:] in self.stops and chunk[-2:-1].isalpha():
+            ids = self[chunk[:-1]] + self.stops[chunk[-1]]
         if ids is None:
             ids = array(self.segmenter.code, self.segmenter.segment(chunk, self.variant)).tobytes()
         self[chunk] = ids
