@@ -301,4 +301,14 @@ FINAL: dict[str, str] = {
     "epoch_merge": f"SELECT epoch, {_r('train_bc', 'train_bc')}, {_r('val_event_f1', 'val_event_f1')} FROM ep",
 }
 
-ORACLE_SQL: dict[str, str] = {name: sql(text) for name, text in FINAL.items()}
+_typed = f"SELECT {SPLIT} AS split, sample_id, k, s AS start, e AS \"end\", sample_id % 4 AS type FROM gt"
+#: of round trips through files
+FILES: dict[str, str] = {
+    "json_split_scan": _typed,
+    "npz_roundtrip": _typed,
+    "parquet_roundtrip": f"SELECT {SPLIT} AS split, count(*) AS num_samples, count(*) FILTER (WHERE a > 0) AS num_anomalous FROM (SELECT sample_id, max(mask) AS a FROM s GROUP BY 1) WHERE sample_id % 3 < 2 GROUP BY 1",
+    "history_io": f"SELECT epoch, {_r('val_event_f1', 'val_event_f1')}, {_r('train_bc', 'train_bc')} FROM ep",
+    "render_series": "SELECT sample_id::VARCHAR AS sample_id, true AS drawn FROM ids",
+}
+
+ORACLE_SQL: dict[str, str] = {name: sql(text) for name, text in (FINAL | FILES).items()}
