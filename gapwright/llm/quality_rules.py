@@ -184,14 +184,19 @@ class DecisionList:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """Features and label of at most ``most`` documents; that many ids at most are broadcast."""
+    """Features, label and base test of at most ``most`` documents; that many ids at most are broadcast.
+
+    The base test stays a column: as a filter it would be pushed below the join, and with it the
+    statistics of every text.
+    """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return found.select("doc_id", "bad", statistics(F.col("text")).alias("stats")).where(~base_failed()).select("doc_id", "bad", *(v.alias(k) for k, v in features().items()))
+    return found.select("doc_id", "bad", statistics(F.col("text")).alias("stats")).select("doc_id", "bad", base_failed().alias("base_failed"), *(v.alias(k) for k, v in features().items()))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DecisionList:
     rows = labelled_statistics(docs, labels, most).orderBy(F.xxhash64("doc_id", *FEATURES)).limit(most).collect()
+    rows = [r for r in rows if not r.base_failed]
     columns = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return DecisionList.learn(columns, np.array([r.bad for r in rows], bool))
 
