@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import EPS, half_even, let
+from .scalar import EPS, half_even, let, let_all
 
 ZERO = 0.0
 
@@ -34,7 +34,7 @@ def deviation(a: Column) -> Column:
 
 
 def standardize(a: Column, center: Column, scale: Column) -> Column:
-    return F.transform(a, lambda x: (x - center) / (scale + EPS))
+    return let_all((center, scale), lambda m, d: F.transform(a, lambda x: (x - m) / (d + EPS)))
 
 
 def first_max(a: Column) -> Column:

@@ -16,6 +16,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def let_all(values: tuple[Column, ...], body: Callable[..., Column]) -> Column:
+    """``body`` of several values, each evaluated once a row.
+
+    Without it an array that a lambda refers to may be computed again for each element, once the
+    optimizer has put its expression there.
+    """
+    names = [f"_{i}" for i in range(len(values))]
+    return let(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True))), lambda s: body(*(s[n] for n in names)))
+
+
 def r6(x: Column) -> Column:
     """Rounded to 6 decimals, without a negative zero."""
     return F.round(x, 6) + F.lit(0.0)

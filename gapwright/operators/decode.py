@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cut, expected_coordinate, first_max
-from ..functions.scalar import sigmoid, softplus, window_bounds, window_radius
+from ..functions.scalar import let_all, sigmoid, softplus, window_bounds, window_radius
 from .segments import binary_segments
 
 #: the logit of a step that is padding
@@ -24,12 +24,15 @@ def probabilities(logits: Column) -> Column:
 def refined_segments(point: Column, start: Column, end: Column, threshold: float = 0.5, min_length: int = 1) -> Column:
     """Runs of the point probabilities, each from its first best start to its first best end."""
 
-    def refine(s: Column) -> Column:
-        a = s["start"] + first_max(cut(start, s["start"], s["end"]))
-        b = s["start"] + first_max(cut(end, s["start"], s["end"]))
-        return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))
+    def of(point: Column, start: Column, end: Column) -> Column:
+        def refine(s: Column) -> Column:
+            a = s["start"] + first_max(cut(start, s["start"], s["end"]))
+            b = s["start"] + first_max(cut(end, s["start"], s["end"]))
+            return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))
 
-    return F.transform(binary_segments(point, threshold, min_length), refine)
+        return F.transform(binary_segments(point, threshold, min_length), refine)
+
+    return let_all((point, start, end), of)
 
 
 def localized_interval(start_prob: Column, end_prob: Column, start: Column, end: Column, n: Column) -> tuple[Column, Column]:
@@ -40,13 +43,15 @@ def localized_interval(start_prob: Column, end_prob: Column, start: Column, end:
 
 def predicted_intervals(point: Column, start: Column, end: Column, threshold: float = 0.5, min_length: int = 1) -> Column:
     """Real-valued intervals of the runs of the point probabilities, in order."""
-    n = F.size(point).cast("bigint")
+    def of(point: Column, start: Column, end: Column) -> Column:
+        n = F.size(point).cast("bigint")
+
+        def locate(s: Column) -> Column:
+            return let_all(localized_interval(start, end, s["start"], s["end"], n), lambda a, b: F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end")))
 
-    def locate(s: Column) -> Column:
-        a, b = localized_interval(start, end, s["start"], s["end"], n)
-        return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))
+        return F.transform(binary_segments(point, threshold, min_length), locate)
 
-    return F.transform(binary_segments(point, threshold, min_length), locate)
+    return let_all((point, start, end), of)
 
 
 def pooled(hidden: DataFrame, groups: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mean, resample, total
-from ..functions.scalar import bce_with_logits, center_gap, interval_iou, let, map_coordinate, smooth_l1
+from ..functions.scalar import bce_with_logits, center_gap, interval_iou, let, let_all, map_coordinate, smooth_l1
 from .decode import localized_interval
 
 TIE = 1e-6
@@ -42,11 +42,14 @@ def bce_sum(logits: Column, targets: Column) -> Column:
 def segment_interval_terms(start_prob: Column, end_prob: Column, segments: Column, n: Column) -> Column:
     """For each true segment, how far the expected ends near it are off."""
 
-    def term(s: Column) -> Column:
-        a, b = localized_interval(start_prob, end_prob, s["start"], s["end"], n)
-        return F.abs(a - s["start"]) + F.abs(b - s["end"])
+    def of(start: Column, end: Column, segments: Column, n: Column) -> Column:
+        def term(s: Column) -> Column:
+            a, b = localized_interval(start, end, s["start"], s["end"], n)
+            return F.abs(a - s["start"]) + F.abs(b - s["end"])
 
-    return F.transform(segments, term)
+        return F.transform(segments, term)
+
+    return let_all((start_prob, end_prob, segments, n), of)
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
@@ -83,6 +86,10 @@ def match_intervals(origin: Column, warped: Column) -> Column:
     The best has the highest IoU, near ties going to the smaller center gap; the next search starts
     behind it. A candidate without overlap still matches.
     """
+    return let_all((origin, warped), _matched)
+
+
+def _matched(origin: Column, warped: Column) -> Column:
     zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<origin:int,warped:int>>").alias("pairs"))
 
     def best(o: Column, first: Column) -> Column:
@@ -111,18 +118,21 @@ def match_intervals(origin: Column, warped: Column) -> Column:
 def pair_distance(origin: Column, warped: Column, pairs: Column) -> Column:
     """Sum over pairs of how far both ends are apart."""
     gap = lambda a, b: F.abs(a["start"] - b["start"]) + F.abs(a["end"] - b["end"])
-    return total(F.transform(pairs, lambda p: gap(F.get(origin, p["origin"]), F.get(warped, p["warped"]))))
+    return let_all((origin, warped), lambda o, w: total(F.transform(pairs, lambda p: gap(F.get(o, p["origin"]), F.get(w, p["warped"])))))
 
 
 def anchored_terms(start: Column, end: Column, warped_start: Column, warped_end: Column, segments: Column, n: Column) -> Column:
     """For each true segment, how far the expected ends of both branches are apart."""
 
-    def term(s: Column) -> Column:
-        a, b = localized_interval(start, end, s["start"], s["end"], n)
-        c, d = localized_interval(warped_start, warped_end, s["start"], s["end"], n)
-        return F.abs(a - c) + F.abs(b - d)
+    def of(start: Column, end: Column, warped_start: Column, warped_end: Column, segments: Column, n: Column) -> Column:
+        def term(s: Column) -> Column:
+            a, b = localized_interval(start, end, s["start"], s["end"], n)
+            c, d = localized_interval(warped_start, warped_end, s["start"], s["end"], n)
+            return F.abs(a - c) + F.abs(b - d)
+
+        return F.transform(segments, term)
 
-    return F.transform(segments, term)
+    return let_all((start, end, warped_start, warped_end, segments, n), of)
 
 
 def mask_distance(prob: Column, warped: Column) -> Column:

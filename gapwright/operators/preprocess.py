@@ -6,19 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import acf_period, deseasonalize, deviation, mean, project_period, resample, smooth, standardize, temporal_features
-from ..functions.scalar import half_even
+from ..functions.scalar import half_even, let, let_all
 
 #: fixed values: transform kinds in the order they are drawn from
 KINDS = ("scale", "shift", "resample", "style", "smooth")
 LEAST_LENGTH = 8
+PARTS = ("mean", "sd", "z", "period", "deseason")
 
 
 def preprocess(samples: DataFrame, series: str = "series", period: Column | None = None, center: Column | None = None, scale: Column | None = None, window: int = 25) -> DataFrame:
     """Adds mean, sd, z, period, deseason and features (array of structs). Given anchors and period are used as they are."""
-    out = samples.withColumns({"mean": mean(F.col(series)) if center is None else center, "sd": deviation(F.col(series)) if scale is None else scale})
-    out = out.withColumn("z", standardize(F.col(series), F.col("mean"), F.col("sd")))
-    out = out.withColumn("period", acf_period(F.col("z")) if period is None else period)
-    out = out.withColumn("deseason", deseasonalize(F.col("z"), F.col("period")))
+    def scaled(x: Column, m: Column, d: Column) -> Column:
+        def found(z: Column, p: Column) -> Column:
+            return F.struct(m.alias("mean"), d.alias("sd"), z.alias("z"), p.alias("period"), deseasonalize(z, p).alias("deseason"))
+
+        return let(standardize(x, m, d), lambda z: let_all((z, acf_period(z) if period is None else period), found))
+
+    def anchored(x: Column) -> Column:
+        return let_all((x, mean(x) if center is None else center, deviation(x) if scale is None else scale), scaled)
+
+    # one expression a row, whatever of its parts is used
+    out = samples.withColumn("_pre", let(F.col(series), anchored)).select(*(c for c in samples.columns if c not in PARTS), *(F.col(f"_pre.{c}").alias(c) for c in PARTS))
     return out.withColumn("features", temporal_features(F.col("deseason"), window))
 
 
@@ -50,6 +58,6 @@ def augmented_features(samples: DataFrame, window: int = 25) -> DataFrame:
     plain = augmented(preprocess(samples, window=window))
     t = F.col("transform")
     period = F.when(t["kind"] == "resample", project_period(F.col("period"), t["source_length"], t["target_length"])).otherwise(F.col("period"))
-    out = plain.withColumn("aug_period", period).withColumn("aug_z", standardize(F.col("aug_series"), F.col("mean"), F.col("sd")))
-    out = out.withColumn("aug_deseason", deseasonalize(F.col("aug_z"), F.col("aug_period")))
+    branch = let_all((F.col("aug_series"), F.col("mean"), F.col("sd"), period), lambda x, m, d, p: F.struct(p.alias("aug_period"), deseasonalize(standardize(x, m, d), p).alias("aug_deseason")))
+    out = plain.withColumn("_aug", branch).select("*", "_aug.*").drop("_aug")
     return out.withColumn("aug_features", temporal_features(F.col("aug_deseason"), window))

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS
 
-SAMPLE = Window.partitionBy("sample_id")
-IN_ORDER = SAMPLE.orderBy("t")
+def _sample():
+    return Window.partitionBy("sample_id")
+
+
+def _in_order():
+    return _sample().orderBy("t")
 
 
 def zscore(points: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Adds mean, sd and z. ``anchors`` (sample_id, mean, sd) freezes the scale where it has a row."""
-    own = points.withColumns({"mean": F.avg("v").over(SAMPLE), "sd": F.stddev_pop("v").over(SAMPLE)})
+    own = points.withColumns({"mean": F.avg("v").over(_sample()), "sd": F.stddev_pop("v").over(_sample())})
     if anchors is not None:
         a = anchors.select("sample_id", F.col("mean").alias("_m"), F.col("sd").alias("_s"))
         own = own.join(a, "sample_id", "left").withColumns({"mean": F.coalesce("_m", "mean"), "sd": F.coalesce("_s", "sd")}).drop("_m", "_s")
@@ -25,10 +29,10 @@ def normalized_index(points: DataFrame) -> DataFrame:
 
 
 def first_difference(points: DataFrame) -> DataFrame:
-    return points.withColumn("delta", F.col("v") - F.coalesce(F.lag("v").over(IN_ORDER), F.col("v")))
+    return points.withColumn("delta", F.col("v") - F.coalesce(F.lag("v").over(_in_order()), F.col("v")))
 
 
 def local_zscore(points: DataFrame, window: int = 25) -> DataFrame:
     half = max(window // 2, 1)
-    near = IN_ORDER.rowsBetween(-half, half)
+    near = _in_order().rowsBetween(-half, half)
     return points.withColumn("local_z", (F.col("v") - F.avg("v").over(near)) / (F.stddev_pop("v").over(near) + EPS))

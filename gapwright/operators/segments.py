@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import runs
+from ..functions.scalar import let
 
 #: a labelled point is anomalous above, a predicted one from this value on
 THRESHOLD = 0.5
@@ -48,11 +49,12 @@ def exploded(samples: DataFrame, segments: str = "segments") -> DataFrame:
 
 def segments_to_mask(segments: Column, n: Column) -> Column:
     """A 0/1 mask of ``n`` points."""
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda t: F.exists(segments, lambda s: t.between(s["start"], s["end"])).cast("double"))
+    at = F.sequence(F.lit(0).cast("bigint"), n - 1)
+    return let(segments, lambda g: F.transform(at, lambda t: F.exists(g, lambda s: t.between(s["start"], s["end"])).cast("double")))
 
 
 def boundary_targets(segments: Column, n: Column) -> tuple[Column, Column]:
     """0/1 maps of the first and of the last points of segments."""
     at = F.sequence(F.lit(0).cast("bigint"), n - 1)
-    first = F.transform(at, lambda t: F.exists(segments, lambda s: s["start"] == t).cast("double"))
-    return first, F.transform(at, lambda t: F.exists(segments, lambda s: s["end"] == t).cast("double"))
+    marks = lambda field: let(segments[field], lambda g: F.transform(at, lambda t: F.array_contains(g, t).cast("double")))
+    return marks("start"), marks("end")

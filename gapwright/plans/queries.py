@@ -36,7 +36,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumns({"mean": A.mean(F.col("series")), "sd": A.deviation(F.col("series"))})
     v = F.col("series")
     s = s.withColumns({"z": A.standardize(v, F.col("mean"), F.col("sd")), "segments": segments.mask_segments(F.col("mask"))})
-    step = lambda o: F.transform(v, lambda x, t: 1.5 * (x - F.coalesce(F.get(v, t + o), x)) / (F.col("sd") + C.EPS))
+    step = lambda o: C.let_all((v, F.col("sd")), lambda a, d: F.transform(a, lambda x, t: 1.5 * (x - F.coalesce(F.get(a, t + o), x)) / (d + C.EPS)))
     s = s.withColumns({"pl": F.transform("z", lambda z: 2.0 * z - 1.0), "sl": step(-1), "el": step(1)})
     s = s.withColumns({p: decode.probabilities(F.col(logit)) for p, logit in (("pp", "pl"), ("sp", "sl"), ("ep", "el"))})
     return s.withColumn("types", F.transform("segments", lambda g: g["start"] % 4))
@@ -322,7 +322,7 @@ def _augmented_scores(spark, sf_dir) -> DataFrame:
     a = augmented(scored(spark, sf_dir))
     v = F.col("aug_series")
     z = A.standardize(v, F.col("mean"), F.col("sd"))
-    step = lambda o: F.transform(v, lambda x, t: C.sigmoid(1.5 * (x - F.coalesce(F.get(v, t + o), x)) / (F.col("sd") + C.EPS)))
+    step = lambda o: C.let_all((v, F.col("sd")), lambda b, d: F.transform(b, lambda x, t: C.sigmoid(1.5 * (x - F.coalesce(F.get(b, t + o), x)) / (d + C.EPS))))
     return a.withColumns({"aug_pp": F.transform(z, lambda x: C.sigmoid(2.0 * x - 1.0)), "aug_sp": step(-1), "aug_ep": step(1)})
 
 
