@@ -1,0 +1,312 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from gapwright.llm import decontaminate, fixity, language_id, line_dedup, merge_dropout, near_dups, pii, quality_rules, token_files, url_filter
+from gapwright.llm.storage import shared_dir
+
+BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+# columns that operators use inside, as columns of the input
+EXTRA = "key long, th long, h string, label string, n_shingles string, bucket string, stats string, base string"
+LONG = " ".join(f"w{i % 997}" for i in range(120_000))
+TEXTS = [(1, "one two three"), (2, None), (3, ""), (4, LONG), (1, "one two three"), (None, "no key here"), (5, "   \n\n \t "), (6, "é" * 3000)]
+
+
+def frame(spark, rows=TEXTS):
+    return spark.createDataFrame([(k, t, 9, 9, "x", "x", "x", "x", "x", "x") for k, t in rows], f"doc_id long, text string, {EXTRA}")
+
+
+def empty(spark):
+    return spark.createDataFrame([], f"doc_id long, text string, {EXTRA}")
+
+
+def by_key(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("make", [frame, empty])
+def test_token_files(spark, make):
+    from tokenizers import Tokenizer
+
+    docs = make(spark)
+    root = shared_dir(spark, "t")
+    got = token_files.read_token_files(token_files.write_token_files(docs, root, BPE, 2), root).orderBy("start").collect()
+    assert len(got) == docs.count()
+    plain, at = Tokenizer.from_file(BPE), 0
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for g, (k, t) in zip(got, rows, strict=True):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (g.key, g.start, g.n_tokens, g.ids_crc32) == (k, at, len(ids), zlib.crc32(ids))
+        at += len(ids)
+
+
+def test_word_encoder_equals_whole_text():
+    from gapwright.llm.textkernel import buffers
+    import pyarrow as pa
+
+    encoder = token_files.WordEncoder.for_file(BPE)
+    assert encoder.by_word
+    odd = ["İstanbul É é ΣΑΣ ß", "a<|endoftext|>b", "A<|ENDOFTEXT|>B", "it's 3.14,foo.. x\x1cy it.'s", "don't.,. ...,a.b 'll", "日本語。 mañana\u200bx", "a\x85b.\x0bc", ""]
+    for batch in (odd, *[[o] for o in odd]):
+        want = [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(batch, add_special_tokens=False)]
+        assert encoder.encode_many(*buffers(pa.array(batch))) == want
+
+
+def test_line_dedup(spark):
+    run = "\n".join(f"line {i} " + "word " * 12 for i in range(6))
+    rows = [(1, f"first\n{run}\nend"), (2, f"other\n\n{run}\nmore"), (2, f"other\n\n{run}\nmore"), (3, None), (4, ""), (None, run), (5, f"{run}\n{run}"), (6, "short\nshort\nshort")]
+    got = {(r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    # the row without a key comes first, so it keeps the run
+    assert (None, 6, 0, run) in got
+    assert (1, 8, 6, "first\nend") in got
+    assert (2, 9, 6, "other\n\nmore") in got
+    assert (3, 0, 0, None) in got and (4, 1, 0, "") in got
+    assert (5, 12, 12, "") in got
+    assert (6, 3, 0, "short\nshort\nshort") in got
+    assert line_dedup.dedup_lines(frame(spark, rows)).count() == len(rows)
+    assert line_dedup.dedup_lines(empty(spark)).collect() == []
+
+
+def test_line_dedup_keeps_the_first_of_an_overlapping_repeat(spark):
+    line = " ".join(["same"] * 25)
+    got = line_dedup.dedup_lines(frame(spark, [(1, "\n".join([line] * 7))])).head()
+    assert (got.n_removed, got.text) == (5, f"{line}\n{line}")
+
+
+def statistics(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows, hit = {}, set()
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    for at in windows.values():
+        if len(at) > 1:
+            hit.update(j for i in at for j in range(i, i + 8))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_statistics(spark):
+    rows = [*TEXTS, (7, "a b c d e f g h a b c d e f g h"), (8, "x " * 9), (9, "x " * 8), (10, "# & | <b>\na\na\n\na b\u00a0c"), (11, " ".join(map(str, range(30))) + " " + " ".join(map(str, range(5, 20))))]
+    none = quality_rules.DecisionList([])
+    for r in quality_rules.apply_rules(frame(spark, rows).drop("stats"), none).collect():
+        want = statistics(r.text)
+        assert tuple(r.stats)[:5] == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r.kept == (not r.base_failed)
+
+
+def test_decision_list_learns_a_conjunction():
+    rng = np.random.default_rng(1)
+    x = {"a": rng.random(3000), "b": rng.random(3000)}
+    rules = quality_rules.DecisionList.learn(x, (x["a"] > 0.7) & (x["b"] <= 0.4))
+    verdict = np.zeros(3000, bool)
+    for rule in rules.rules:
+        hit = np.ones(3000, bool)
+        for c in rule:
+            hit &= c.holds(x)
+        verdict |= hit
+    truth = (x["a"] > 0.7) & (x["b"] <= 0.4)
+    assert (verdict & truth).sum() > 0.85 * truth.sum() and (verdict & ~truth).sum() < 0.1 * truth.sum()
+
+
+def test_decision_list_without_labels(spark):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    assert quality_rules.learn(frame(spark), labels).rules == []
+
+
+def test_fixity(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * i) for i in range(200)] + [(None, None, None), (7, "http://h/7", None), (3, "http://h/3", "xxx")], "page_id long, url string, html string")
+    ours = fixity.digests(pages)
+    assert fixity.audit(ours, ours).where("NOT intact").isEmpty()
+    assert fixity.audit(ours.limit(0), ours.limit(0)).collect() == []
+    hurt = fixity.digests(pages.selectExpr("page_id", "url", "if(page_id IN (5, 150), concat('y', substr(html, 2)), html) AS html"))
+    assert sorted(r.key for r in fixity.audit(ours, hurt).where("NOT intact").collect()) == [5, 150]
+    rows = fixity.audit(ours, ours).orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(203)) and all(b.offset == a.offset + a.length for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_merge_dropout(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["", " ", "  a  b ", "\n\n x", "日本語 🙂", "a\tb", "ﬁ １", "é ​ z", "word. Word,\nword  .", "\x00"]
+    plain, dropped = merge_dropout.Segmenter(PIECES, 0.0, 0), merge_dropout.Segmenter(PIECES, 0.5, 3)
+    for t in texts:
+        assert list(plain.encode(t)) == library.encode(t)
+    for t in [*texts, "own ▁ mark▁", LONG]:
+        assert all(s.decode(s.encode(t, v)) == t for s in (plain, dropped) for v in (0, 1))
+    assert list(dropped.encode("segmentation", 0)) == list(merge_dropout.Segmenter(PIECES, 0.5, 3).encode("segmentation", 0))
+    assert len({tuple(merge_dropout.Segmenter(PIECES, 0.5, s).encode("segmentation")) for s in range(8)}) > 2
+    rows = merge_dropout.encode_texts(frame(spark), PIECES)
+    assert rows.count() == len(TEXTS) and rows.where("NOT lossless").isEmpty()
+    back = by_key(merge_dropout.decode_ids(rows, PIECES))
+    assert back == sorted(((k, t or "") for k, t in TEXTS), key=str)
+    assert merge_dropout.encode_texts(empty(spark), PIECES).collect() == []
+
+
+def test_agenda_forms_agree():
+    import random
+
+    s, r = merge_dropout.Segmenter(PIECES, 0.3, 5), random.Random(1)
+    for _ in range(500):
+        pieces = [r.choice("abetnoirs▁éñ.日") for _ in range(r.randint(1, 40))]
+        assert s._merge_short(pieces[:], 77) == s._merge_long(pieces[:], 77)
+
+
+def test_language(spark):
+    rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 8, "en" if i % 2 else "de") for i in range(200)]
+    docs = spark.createDataFrame([*rows, (500, None, "en"), (501, "123 !!", "en"), (502, "the dog", None), (502, "the dog", None), (None, "the dog and", "en")], "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.learn(docs)).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id in (500, 501):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif r.doc_id is not None and r.doc_id < 200:
+            assert r.lang_pred == ("en" if r.doc_id % 2 else "de") and 0 <= r.score <= 1
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        else:
+            assert r.lang_pred == "en"
+    assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
+    assert language_id.learn(docs.where("lang IS NULL")) is None
+    assert language_id.identify(docs.limit(0), language_id.learn(docs)).collect() == []
+
+
+def test_decontamination(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    w = item.split()
+    moved = "start " + " ".join(w[20:]) + " between the parts " + " ".join(w[:20]) + " end"
+    docs = frame(spark, [(1, f"before {item} after"), (2, moved), (3, " ".join(w[:12])), (4, None), (5, ""), (6, item.upper().replace(" ", ",\n")), (None, item), (6, item.upper().replace(" ", ",\n")), (7, LONG)])
+    items = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (13, "")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.coverage, r.n_tiles) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == [(0, 10, 1.0, 1), (1, 10, 1.0, 1), (2, 10, 1.0, 2), (6, 10, 1.0, 1), (6, 10, 1.0, 1)]
+    assert decontaminate.find_leaks(docs, items.limit(0)).collect() == [] and decontaminate.find_leaks(empty(spark), items).collect() == []
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    docs = frame(spark, [(1, "a b c d e f g h"), (2, "i j k l m n o p")])
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "i j k l m n"), (3, "z y x w v u")], "item_id long, text string")
+    whole = by_key(decontaminate.find_leaks(docs, items))
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 1)
+    assert by_key(decontaminate.find_leaks(docs, items)) == whole and len(whole) == 2
+
+
+def test_greedy_tiles_against_brute_force():
+    import random
+
+    r = random.Random(4)
+    for _ in range(60):
+        a, b = ([r.randint(0, 3) for _ in range(n)] for n in (25, 40))
+        pairs = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]]
+        got = decontaminate.greedy_tiles(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), len(a))
+        used_a, used_b, want = set(), set(), []
+        while True:
+            best = None
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                        n += 1
+                    if n >= 5 and (best is None or n > best[2]):
+                        best = (i, j, n)
+            if best is None:
+                break
+            want.append(best)
+            used_a.update(range(best[0], best[0] + best[2]))
+            used_b.update(range(best[1], best[1] + best[2]))
+        assert got == want
+
+
+def brute_components(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is None or rows[j][0] is None:
+                continue
+            both = len(sets[i] & sets[j])
+            if rows[i][0] == rows[j][0] or (both and 100 * both >= percent * len(sets[i] | sets[j])):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            least[find(i)] = min(key, least.get(find(i), key))
+    return [(key, len(s), least.get(find(i)) if key is not None else None) for i, ((key, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, k):
+    import random
+
+    r = random.Random(k)
+    base = [f"w{i}" for i in range(120)]
+    rows = list(TEXTS)
+    for i in range(60):
+        w = base[:]
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(len(w))] = f"new{r.randint(0, 9999)}"
+        rows.append((100 + i, " ".join(w) if i % 2 else " ".join(w).upper()))
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in near_dups.near_duplicates(frame(spark, rows), k=k).collect()), key=str)
+    assert got == sorted(brute_components(rows, k, 80), key=str)
+    assert near_dups.near_duplicates(empty(spark)).collect() == []
+
+
+def test_estimate_is_near_the_truth():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    a, b = np.unique(pool[:2000]), np.unique(pool[200:2200])
+    regs = near_dups.registers_of(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    truth = 1800 / 2200
+    assert abs(near_dups.estimate_similarity(regs[:1], regs[1:], np.array([2000.0]), np.array([2000.0]))[0] - truth) < 0.1
+    union = near_dups.registers_of(np.union1d(a, b), np.array([0, 2200]))
+    assert (union[0] == np.maximum(regs[0], regs[1])).all()
+
+
+def test_personal_data(spark):
+    texts = [None, "", "mail a.b@c.de, ip 1.2.3.4 and 1.2.3.256", "card 4111 1111 1111 1111 or +1 (017) 555-7713", "é a@b.c 999999999999999999999999", "9" * 3000, "a" * 5000 + "@x.yz", "1.2.3.4.5.6.7.8 x@y.zz%q@w.vv", "number 4716 2210 5188 5663 end"]
+    model = pii.learn(spark)
+    docs = frame(spark, list(enumerate(texts))).drop("base")
+    got = {r.doc_id: r for r in pii.find_personal_data(docs, model).collect()}
+    names = lambda spans: [(pii.KINDS[s.kind], s.start, s.end) for s in spans]
+    assert names(got[0].base) == names(got[1].base) == []
+    assert names(got[2].base) == [("email", 5, 13), ("ip", 18, 25)]
+    assert names(got[3].base) == [("card", 5, 24), ("phone", 28, 45)]
+    assert names(got[4].base) == [("email", 2, 7)]
+    assert names(got[5].base) == [] and names(got[6].base) == [("email", 0, 5005)]
+    assert names(got[7].base) == [("ip", 0, 7), ("ip", 8, 15), ("email", 16, 22), ("email", 22, 29)]
+    assert all(set(map(tuple, r.base)) <= set(map(tuple, r.found)) for r in got.values())
+    # sixteen digits that fail the check are found from their format and place
+    assert ("card", 7, 26) in names(got[8].found)
+    assert pii.find_personal_data(empty(spark).drop("base"), model).collect() == []
+    red = pii.find_personal_data(docs, model).select("doc_id", pii.redact(docs["text"], pii.F.col("found")).alias("t")).where("doc_id = 2").head().t
+    assert red == "mail <email>, ip <ip> and 1.2.3.256"
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?q#f", "http://example.net", "https://m.example.com/de/", "http://x.org/fr/1", "http://net/", "http://anet/", "http://u@h.net:80/a", "a://b://c/d"]
+    got = [tuple(r) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.HostModel()).orderBy("page_id").select("host", "path", "rule", "verdict").collect()]
+    assert got[0][:3] == got[1][:3] == got[2][:3] == got[3][:3] == ("", "", None)
+    assert got[4] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert got[5][:3] == ("example.net", "", None)
+    assert got[6] == ("m.example.com", "/de/", "example.com/de/", "block") and got[7] == ("x.org", "/fr/1", "org/fr/", "allow")
+    assert got[8] == ("net", "/", "net/", "block") and got[9][2] is None and got[10][2] is None
+    assert got[11][:2] == ("b:", "//c/d")
+    model = url_filter.HostModel()
+    assert model.segment("cheappills") == ["cheap", "pills"] and model.score("cheap-pills.example.com", "/") > 0 > model.score("dailynews.example.org", "/")
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), model).collect() == []
