@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PointFrame: sample_id, t, n, v, mask. One exchange on the sample."""
-    user = Window.partitionBy("user_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("sample_id"),
-        (F.row_number().over(user.orderBy("ts", "event_id")) - 1).cast("bigint").alias("t"),
-        F.count("*").over(user).alias("n"),
+    # named before the windows: an alias above them would hide that the rows are already dealt
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "sample_id")
+    sample = Window.partitionBy("sample_id")
+    return events.select(
+        "sample_id",
+        (F.row_number().over(sample.orderBy("ts", "event_id")) - 1).cast("bigint").alias("t"),
+        F.count("*").over(sample).alias("n"),
         F.col("value").alias("v"),
         (F.col("event_type") == "error").cast("double").alias("mask"),
     )
