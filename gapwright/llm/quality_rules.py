@@ -145,7 +145,14 @@ class DecisionList:
         return out
 
     @staticmethod
-    def _grow(columns: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray, most: int, least: int, cuts: int) -> Rule:
+    def _centred(c: Condition, columns: dict[str, np.ndarray], outside: np.ndarray, inside: np.ndarray) -> Condition:
+        """The same split with its threshold halfway between the values on either side, so that what lies between isn't judged by a hair."""
+        v = columns[c.feature]
+        near = (v[outside].max(), v[inside].min()) if c.above else (v[inside].max(), v[outside].min())
+        return Condition(c.feature, c.above, float(sum(near) / 2))
+
+    @classmethod
+    def _grow(cls, columns: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray, most: int, least: int, cuts: int) -> Rule:
         rule: list[Condition] = []
         while len(rule) < most and bad[rows].any() and not bad[rows].all():
             p0, n0 = bad[rows].sum(), (~bad[rows]).sum()
@@ -159,8 +166,10 @@ class DecisionList:
                             best = (gain, Condition(name, above, float(t)))
             if best[1] is None:
                 break
-            rule.append(best[1])
-            rows = rows & best[1].holds(columns)
+            # the gain is positive, so rows lie on both sides
+            inside = rows & best[1].holds(columns)
+            rule.append(cls._centred(best[1], columns, rows & ~inside, inside))
+            rows = inside
         return tuple(rule)
 
     @classmethod
