@@ -21,3 +21,12 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, where no cluster tool has put it there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
