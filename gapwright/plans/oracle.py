@@ -236,6 +236,7 @@ FINAL: dict[str, str] = {
     "split_filter": f"SELECT sample_id, n, {SPLIT} AS split FROM ids WHERE sample_id % 3 < 2",
     "id_filter": f"SELECT sample_id, t, {_r('v', 'v')} FROM s WHERE sample_id = 7",
     "zscore": f"SELECT sample_id, t, {_r('mean', 'mean')}, {_r('sd', 'sd')}, {_r('z', 'z')} FROM z",
+    "zscore_anchored": f"SELECT z.sample_id, z.t, {_r('(z.v - coalesce(a.mean, z.mean)) / (coalesce(a.sd, z.sd) + 1e-6)', 'z')} FROM z LEFT JOIN (SELECT sample_id + 1 AS sample_id, avg(v) AS mean, stddev_pop(v) AS sd FROM s WHERE sample_id % 2 = 0 GROUP BY 1) a ON a.sample_id = z.sample_id",
     "tnorm": f"SELECT sample_id, t, {_r('t / greatest(n - 1, 1)::DOUBLE', 't_norm')} FROM s",
     "first_diff": f"SELECT sample_id, t, {_r(f'v - coalesce(lag(v) OVER {W}, v)', 'delta')} FROM s",
     "local_z": f"SELECT sample_id, t, {_r(f'(v - avg(v) OVER {LOCAL}) / (stddev_pop(v) OVER {LOCAL} + 1e-6)', 'local_z')} FROM s",

@@ -105,6 +105,13 @@ def zscore(spark, sf_dir):
     return z.select("sample_id", "t", *(C.r6(F.col(c)).alias(c) for c in ("mean", "sd", "z")))
 
 
+def zscore_anchored(spark, sf_dir):
+    """Half of the series on the scale of the sample before them."""
+    p = points(spark, sf_dir)
+    anchors = p.where("sample_id % 2 = 0").groupBy((F.col("sample_id") + 1).alias("sample_id")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return scaling.zscore(p, anchors).select("sample_id", "t", C.r6(F.col("z")).alias("z"))
+
+
 def tnorm(spark, sf_dir):
     return scaling.normalized_index(points(spark, sf_dir)).select("sample_id", "t", C.r6(F.col("t_norm")).alias("t_norm"))
 
