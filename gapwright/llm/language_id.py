@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import lowest_hashes
 from .storage import table
 from .textkernel import LOWER, buffers, slices
 
@@ -130,8 +131,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel |
 
 
 def learn(docs: DataFrame, most: int = MAX_LABELLED) -> LanguageModel | None:
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = usable.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    # the texts are no part of what is counted; one that is null or has no letter teaches nothing
+    rows = lowest_hashes(usable.select("doc_id", "text", "lang"), "doc_id", most).where(F.col("text").rlike(r"\p{L}")).collect()
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
