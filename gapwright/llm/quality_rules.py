@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import lowest_hashes
 from .storage import table
 
 #: white space between words, and the characters counted as symbols; fixed by the query's contract
@@ -198,7 +199,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = MAX_LABE
     The base test stays a column: as a filter it would be pushed below the join, and with it the
     statistics of every text.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    chosen = lowest_hashes(chosen, "doc_id", most)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.select("doc_id", "bad", statistics(F.col("text")).alias("stats")).select("doc_id", "bad", base_failed().alias("base_failed"), *(v.alias(k) for k, v in features().items()))
 
