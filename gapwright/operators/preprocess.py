@@ -11,23 +11,23 @@ from ..functions.scalar import half_even, let, let_all
 #: fixed values: transform kinds in the order they are drawn from
 KINDS = ("scale", "shift", "resample", "style", "smooth")
 LEAST_LENGTH = 8
-PARTS = ("mean", "sd", "z", "period", "deseason")
+PARTS = ("mean", "sd", "z", "period")
 
 
 def preprocess(samples: DataFrame, series: str = "series", period: Column | None = None, center: Column | None = None, scale: Column | None = None, window: int = 25) -> DataFrame:
     """Adds mean, sd, z, period, deseason and features (array of structs). Given anchors and period are used as they are."""
     def scaled(x: Column, m: Column, d: Column) -> Column:
         def found(z: Column, p: Column) -> Column:
-            return F.struct(m.alias("mean"), d.alias("sd"), z.alias("z"), p.alias("period"), deseasonalize(z, p).alias("deseason"))
+            return F.struct(m.alias("mean"), d.alias("sd"), z.alias("z"), p.alias("period"))
 
         return let(standardize(x, m, d), lambda z: let_all((z, acf_period(z) if period is None else period), found))
 
     def anchored(x: Column) -> Column:
         return let_all((x, mean(x) if center is None else center, deviation(x) if scale is None else scale), scaled)
 
-    # one expression a row, whatever of its parts is used
+    # one expression a row for what belongs together; the rest is pruned where it isn't used
     out = samples.withColumn("_pre", let(F.col(series), anchored)).select(*(c for c in samples.columns if c not in PARTS), *(F.col(f"_pre.{c}").alias(c) for c in PARTS))
-    return out.withColumn("features", temporal_features(F.col("deseason"), window))
+    return out.withColumn("deseason", deseasonalize(F.col("z"), F.col("period"))).withColumn("features", temporal_features(F.col("deseason"), window))
 
 
 def draw(sample_id: Column) -> Column:
