@@ -36,16 +36,16 @@ BASE = {
 }
 #: what a text must contain for a pattern to be tried
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: generators of proposals: (pattern, needed, kinds proposed)
+#: generators of proposals: (pattern, needed, fewest and most digits, kinds proposed)
 GENERATORS = (
-    (r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++", r"[0-9](?:[ ().-]{0,2}[0-9]){8}", ("card", "phone")),
-    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++", r"\[at\]|\(at\)|@", ("email",)),
+    (r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++", r"[0-9](?:[ ().-]{0,2}[0-9]){8}", 9, 19, ("card", "phone")),
+    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++", r"\[at\]|\(at\)|@", 0, 2**31 - 1, ("email",)),
 )
 CONTEXT = 24
 #: context words of a kind, and of numbers that are no personal data
 CUES = {"phone_cue": "tel|phone|call|mobile|fax|cell|whatsapp", "card_cue": "card|visa|master|credit|debit|amex|pay", "code_cue": "order|isbn|invoice|ref|serial|version|sku|ticket|part|build|timestamp|total"}
-FEATURES = ("for_card", "for_phone", "for_email", "n_digits", "n_marks", "n_dots", "plus", "paren", "luhn", "left_joined", "right_joined", "fours", "spelled", *CUES)
-MAX_EXAMPLES, ROUNDS, RATE, TARGET_PRECISION = 6_000, 40, 0.3, 0.99
+FEATURES = ("for_card", "for_phone", "for_email", "n_digits", "n_marks", "n_dots", "plus", "paren", "luhn", "left_joined", "right_joined", "fours", "spelled", "date", *CUES)
+MAX_EXAMPLES, ROUNDS, RATE, TARGET_PRECISION = 6_000, 60, 0.3, 0.998
 
 
 def found(text: Column, pattern: str, need: str) -> Column:
@@ -108,10 +108,11 @@ def base_spans(text: Column) -> Column:
 def proposals(text: Column) -> Column:
     """Every proposed span and kind with its features."""
 
-    def of(pattern: str, need: str, kind: str) -> Column:
-        return F.transform(found(text, pattern, need), lambda m: let(digits(m["value"]), lambda d: _described(m, d, kind)))
+    def of(pattern: str, need: str, fewest: int, most: int, kind: str) -> Column:
+        usable = F.filter(found(text, pattern, need), lambda m: F.length(digits(m["value"])).between(fewest, most))
+        return F.transform(usable, lambda m: let(digits(m["value"]), lambda d: _described(m, d, kind)))
 
-    return F.concat(*(of(pattern, need, kind) for pattern, need, kinds in GENERATORS for kind in kinds))
+    return F.concat(*(of(*form, kind) for *form, kinds in GENERATORS for kind in kinds))
 
 
 def _described(m: Column, number: Column, kind: str) -> Column:
@@ -122,7 +123,7 @@ def _described(m: Column, number: Column, kind: str) -> Column:
         "n_digits": one(F.length(number)), "n_marks": one(F.length(v) - F.length(number)), "n_dots": one(F.length(v) - F.length(F.replace(v, F.lit("."), F.lit("")))),
         "plus": one(v.startswith("+")), "paren": one(F.contains(v, F.lit("("))), "luhn": one(luhn(F.left(number, F.lit(19)))),
         "left_joined": one(m["left"].rlike(r"[A-Za-z0-9_.#/@-]$")), "right_joined": one(m["right"].rlike(r"^[A-Za-z0-9_/@]")),
-        "fours": one(v.rlike(r"^[0-9]{4}([ -]?[0-9]{4}){3}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}$")), "spelled": one(v.rlike(r"[\[(](at|dot)[\])]")),
+        "fours": one(v.rlike(r"^[0-9]{4}([ -]?[0-9]{4}){3}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}$")), "spelled": one(v.rlike(r"[\[(](at|dot)[\])]")), "date": one(v.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{2}[-./ ][0-9]{2}")),
     } | {name: one(left.rlike(words)) for name, words in CUES.items()}
     return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), *(values[f].alias(f) for f in FEATURES))
 
@@ -223,7 +224,7 @@ def examples(n: int = MAX_EXAMPLES // 3, seed: int = 11) -> list[tuple[str, str]
         "card": (lambda: num(16), lambda: num(16), lambda: " ".join(num(4) for _ in range(4)), lambda: "-".join(num(4) for _ in range(4)), lambda: f"{num(4)} {num(6)} {num(5)}", lambda: num(15)),
         "phone": (lambda: f"+{num(2)} {num(3)} {num(6)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}"),
         "email": (lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()} (at) {word()}.org", lambda: f"{word()}{num(2)}@ {word()} .net"),
-        "none": (lambda: f"20{num(2)}-0{num(1)}-1{num(1)} 1{num(1)}", lambda: num(r.randint(9, 12)), lambda: num(r.randint(21, 40)), lambda: f"{num(1)}.{num(1)}.{num(2)}.{num(3)}.{num(4)}", lambda: f"{word()}{num(16)}{word()}", lambda: f"{r.choice('abcdef')}{num(12)}{r.choice('abcdef')}{num(2)}", lambda: " ".join(num(2) for _ in range(7)), lambda: f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}"),
+        "none": (lambda: f"20{num(2)}-0{num(1)}-1{num(1)} 1{num(1)}", lambda: f"19{num(2)}.1{num(1)}.2{num(1)} 1{num(1)}.{num(2)}", lambda: f"{num(3)}.{num(3)}.{num(2)}.{num(3)}", lambda: num(r.randint(9, 12)), lambda: num(r.randint(21, 40)), lambda: f"{num(1)}.{num(1)}.{num(2)}.{num(3)}.{num(4)}", lambda: f"{word()}{num(16)}{word()}", lambda: f"{r.choice('abcdef')}{num(12)}{r.choice('abcdef')}{num(2)}", lambda: " ".join(num(2) for _ in range(7)), lambda: f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}"),
     }
     cue = {"card": ("card", "visa", "pay"), "phone": ("call", "tel", "phone"), "email": ("write", "mail"), "none": ("order", "isbn", "ref", "version", "total")}
     out = []
