@@ -310,3 +310,16 @@ def test_urls(spark):
     model = url_filter.HostModel()
     assert model.segment("cheappills") == ["cheap", "pills"] and model.score("cheap-pills.example.com", "/") > 0 > model.score("dailynews.example.org", "/")
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), model).collect() == []
+
+
+FORMATS = [
+    ("call (017) 555-7713 now", "phone:5:19"), ("reach 017-555-7713 today", "phone:6:18"), ("pay 4111-1111-1111-1112 soon", "card:4:23"), ("john [at] example [dot] com", "email:0:27"), ("mail jo.b(at)site.org", "email:5:21"),
+    ("thing 4716221051885663, next", "card:6:22"), ("on 2024-01-31 12:30", ""), ("order 123456789 done", ""), ("isbn 978-3-16-148410-0", ""), ("num 1234567890 x", ""), ("ids 12 34 56 78 90 12", ""), ("192.168.1.300", ""),
+    ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', ""), ("total 1 234 567 890 euro", ""),
+]
+
+
+def test_formats_of_personal_data(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FORMATS)], "doc_id long, text string")
+    got = pii.find_personal_data(docs, pii.learn(spark)).select("doc_id", pii.joined(pii.F.col("found")).alias("spans")).orderBy("doc_id").collect()
+    assert [r.spans for r in got] == [want for _, want in FORMATS]
