@@ -1,35 +1,12 @@
-"""Intermediate tables in the folder that the driver and all executors share.
-
-Lineage is cut by writing Parquet there and reading it back: a lost executor then costs
-only the tasks it ran, and no stage depends on blocks kept on one machine.
-"""
+"""Tables that operators read and write."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir, stored
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests, one machine) a temporary folder is set, once a session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='gapwright-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
