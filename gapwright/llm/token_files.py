@@ -30,7 +30,7 @@ from .storage import shared_dir, table
 from .textkernel import LOWER, buffers, slices
 
 #: distinct words whose ids a worker keeps in each of two generations; a full one replaces the older
-WORD_CACHE = 600_000
+WORD_CACHE = 250_000
 NULL_KEY = np.iinfo(np.int64).min
 
 _encoders: dict[str, "WordEncoder"] = {}
