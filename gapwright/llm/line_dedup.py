@@ -4,9 +4,11 @@ A window is the shortest run of whole lines with ``MIN_WORDS`` words or more, on
 that starts such a run. The least line hash in a window (the last of equals) is its fingerprint,
 so two equal runs of that size always share one. Fingerprints found at one position only end
 there. Windows around a shared fingerprint are compared by their whole content with the first
-window of that content in (doc_id, position) order; neighbouring equal windows overlap, so their
-union is the match extended both ways as far as it holds. Lines in a window with an earlier equal
-are deleted; the first run stays. No pairs are formed: a group of copies costs one row a window.
+window of that content in (doc_id, position) order. Lines in a window with an earlier equal are
+deleted; the first run stays. Neighbouring equal windows overlap, so a match goes on for as long as
+whole windows are equal, and no further: equal lines after the last of them, of fewer than
+``MIN_WORDS`` words together, stay, also at the end of an exact copy. The SQL gives the same. No
+pairs are formed: a group of copies costs one row a window.
 
 Defined results: lines without a word are in no window and go only where they lie inside a deleted
 run; a run of fewer than ``MIN_WORDS`` words stays; a repeat within one text counts where it does
