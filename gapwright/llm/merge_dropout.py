@@ -1,17 +1,20 @@
 """Operator 6: SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges are taken from an agenda ordered by the model's scores, then by place. A candidate merge
-that comes up is skipped when a keyed hash of the seed, the variant, the word, the place and the
-two pieces falls below the dropout rate; a skipped candidate doesn't come up again. A text's
-variant is a hash of its key, so a run can be repeated exactly. With a rate of 0 the ids are the
-library's own.
+that comes up is skipped when a keyed hash of the seed, the text's key, the word's number in the
+text, the place and the two pieces falls below the dropout rate; a skipped candidate doesn't come
+up again. So each occurrence of a word is drawn anew, and a run can be repeated exactly. With a
+rate of 0 the ids are the library's own.
+
+What is remembered of a word are agendas, not draws: the candidates that come up after given
+skips, and the ids if none of them is skipped. All occurrences are tried against these at once.
 
 No piece of a model used here has a space mark after another character, and none holds a
-character outside the vocabulary, so merges stay within words and a word is segmented once a variant.
+character outside the vocabulary, so merges stay within words and words are segmented apart.
 Characters outside the vocabulary become byte pieces, as does a space mark that stands in the text
 itself; so decoding gives back every text exactly.
 
-Defined results: a null or empty text has no ids; a null key is variant 0; repeated rows give
+Defined results: a null or empty text has no ids; a null key counts as variant 0; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,9 +36,11 @@ from .storage import table
 MARK = "▁"
 #: stands for a space mark of the text; a lone surrogate, which no text can hold
 OWN_MARK = "\ud800"
-RATE, SEED, VARIANTS = 0.1, 17, 4
-#: words a worker remembers in each of two generations
-WORD_CACHE = 1_200_000
+RATE, SEED = 0.1, 17
+#: agendas a worker remembers before it starts afresh
+AGENDAS = 1_000_000
+#: words of a text that are tried at once
+BLOCK = 1 << 16
 #: characters of a word up to which its agenda is a plain list
 SHORT = 48
 _CHUNKS = re.compile(r"\n[^ \n]*| ( *[^ \n]*)").finditer
@@ -68,7 +73,7 @@ class Segmenter:
         self.threshold = int(rate * 2**32)
         self.seed = seed
         self.code = "H" if n <= 1 << 16 else "I"
-        self.words: dict[int, _Words] = {}
+        self.words = _Words(self)
 
     @classmethod
     def shared(cls, *args) -> "Segmenter":
@@ -76,26 +81,39 @@ class Segmenter:
             _segmenters[args] = cls(*args)
         return _segmenters[args]
 
-    def segment(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one word and the space before it, or of a line end and the word after it."""
-        sym = [MARK if c == " " else OWN_MARK if c == MARK else c for c in (chunk if chunk[:1] == "\n" else " " + chunk)]
-        key = zlib.crc32(chunk.encode(), self.seed * 0x9E3779B1 + variant * 0x85EBCA6B & 0xFFFFFFFF)
-        sym = self._merge_short(sym, key) if len(sym) <= SHORT else self._merge_long(sym, key)
-        out, ids = [], self.id
+    def symbols(self, chunk: str) -> list[str]:
+        return [MARK if c == " " else OWN_MARK if c == MARK else c for c in (chunk if chunk[:1] == "\n" else " " + chunk)]
+
+    def segment(self, chunk: str, key: int) -> bytes:
+        """Ids of one word and the space before it, or of a line end and the word after it; ``key`` is of the occurrence."""
+        sym = self.symbols(chunk)
+        return self.coded(self._merge_short(sym, key) if len(sym) <= SHORT else self._merge_long(sym, key))
+
+    def coded(self, sym: list[str]) -> bytes:
+        out, ids = array(self.code), self.id
         for s in sym:
             if (x := ids.get(s)) is not None:
                 out.append(x)
             else:
-                out += [self.byte[b] for b in s.replace(OWN_MARK, MARK).encode()]
-        return out
+                out.extend(self.byte[b] for b in s.replace(OWN_MARK, MARK).encode())
+        return out.tobytes()
+
+    def keys(self, variant: int, first: int, n: int) -> np.ndarray:
+        """32-bit keys of ``n`` occurrences in the text of this variant."""
+        base = _mix(np.array([variant & _ALL ^ self.seed * _GOLDEN & _ALL], np.uint64))
+        return (_mix(base + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(_GOLDEN)) >> np.uint64(32)).astype(np.uint32)
 
     def _skips(self, key: int, place: int, merged: str) -> bool:
         """The keyed hash of a candidate against the rate; ``place`` is where its left piece begins."""
         h = key ^ (place * 0x9E3779B1 + self.salt[merged]) & 0xFFFFFFFF
         return (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF < self.threshold
 
-    def _merge_short(self, sym: list[str], key: int) -> list[str]:
-        """The agenda as a list of scores beside the pieces: its first minimum is the next candidate."""
+    def _merge_short(self, sym: list[str], key: int, skipped: tuple[int, ...] = (), tried: list[int] | None = None) -> list[str]:
+        """The agenda as a list of scores beside the pieces: its first minimum is the next candidate.
+
+        With ``tried``, candidates are skipped by their numbers instead of by ``key``, and what each
+        brings to the hash is put there.
+        """
         get, none = self.rank.get, self.none
         agenda = [get(a + b, none) for a, b in zip(sym, sym[1:], strict=False)]
         place = list(range(len(sym)))
@@ -103,7 +121,12 @@ class Segmenter:
         while agenda and (best := min(agenda)) < none:
             i = agenda.index(best)
             merged = sym[i] + sym[i + 1]
-            if threshold:
+            if tried is not None:
+                tried.append(place[i] * 0x9E3779B1 + salt[merged] & 0xFFFFFFFF)
+                if len(tried) - 1 in skipped:
+                    agenda[i] = none
+                    continue
+            elif threshold:
                 # as in _skips, without the call
                 h = key ^ (place[i] * 0x9E3779B1 + salt[merged]) & 0xFFFFFFFF
                 if (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF < threshold:
@@ -147,40 +170,106 @@ class Segmenter:
     def encode(self, text: str, variant: int = 0) -> array:
         if not text:
             return array(self.code)
-        words = self.words.get(variant)
-        if words is None or len(words) > WORD_CACHE // VARIANTS:
-            words = self.words[variant] = _Words(self, variant, words or {})
         if "  " in text or text[0] == " " or text[-1] == " ":
             chunks = [m[0] if m[1] is None else m[1] for m in _CHUNKS(" " + text)]
         else:
             chunks = text.replace("\n", " \n").split(" ")
-        return array(self.code, b"".join(map(words.__getitem__, chunks)))
+        out = array(self.code)
+        for first in range(0, len(chunks), BLOCK):
+            block = chunks[first : first + BLOCK]
+            out.frombytes(self._draw(block, self.keys(variant, first, len(block))))
+        return out
+
+    def _draw(self, chunks: list[str], keys: np.ndarray) -> bytes:
+        """Ids of words, each by its key. The first candidate skipped leads to the agenda after that skip, which is tried in turn."""
+        if len(self.words.ids) > AGENDAS:
+            self.words = _Words(self)
+        words = self.words
+        at = np.fromiter(map(words.__getitem__, chunks), np.int64, len(chunks))
+        left = np.arange(len(chunks) if self.threshold else 0)
+        while len(left):
+            which, number = words.first_skips(at[left], keys[left], self.threshold)
+            left = left[which]
+            at[left] = [words.after(a, n, chunks[i]) for a, n, i in zip(at[left].tolist(), number.tolist(), left.tolist(), strict=True)]
+        parts = [words.ids[a] for a in at.tolist()]
+        for i in np.flatnonzero(at == 0).tolist():
+            parts[i] = self.segment(chunks[i], int(keys[i]))
+        return b"".join(parts)
 
     def decode(self, ids) -> str:
         """The text; the space that encoding puts in front is taken off."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
 
+_ALL, _GOLDEN = 2**64 - 1, 0x9E3779B97F4A7C15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 class _Words(dict):
-    """Ids of words in one variant, segmented when first met; what is met again moves on to the next generation."""
+    """Numbers of words' agendas, made when first met. Number 0 stands for words too long to be remembered."""
 
-    def __init__(self, segmenter: Segmenter, variant: int, before: dict[str, bytes]):
-        self.segmenter, self.variant, self.before = segmenter, variant, dict(before)
+    def __init__(self, segmenter: Segmenter):
+        self.segmenter = segmenter
         self.stops = {c: array(segmenter.code, [segmenter.id[c]]).tobytes() for c in ".," if c in segmenter.id}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.before.get(chunk)
-        if ids is None and self.segmenter.stops_apart and chunk[-1:] in self.stops and chunk[-2:-1].isalpha():
-            ids = self[chunk[:-1]] + self.stops[chunk[-1]]
-        if ids is None:
-            ids = array(self.segmenter.code, self.segmenter.segment(chunk, self.variant)).tobytes()
-        self[chunk] = ids
-        return ids
+        #: by agenda: ids if nothing more is skipped, numbers of the skips before, place and count of its candidates
+        self.ids, self.skipped, self.start, self.count = [b""], [()], array("q", [0]), array("q", [0])
+        self.candidates = array("I", [0])
+        self.next: dict[int, int] = {}
+
+    def __missing__(self, chunk: str) -> int:
+        s = self.segmenter
+        if s.stops_apart and chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and (base := self[chunk[:-1]]):
+            number = self._add(self.ids[base] + self.stops[chunk[-1]], (), self.start[base], self.count[base])
+        else:
+            number = self._agenda(chunk, ()) if len(chunk) < SHORT else 0
+        self[chunk] = number
+        return number
+
+    def _add(self, ids: bytes, skipped: tuple[int, ...], start: int, count: int) -> int:
+        self.ids.append(ids)
+        self.skipped.append(skipped)
+        self.start.append(start)
+        self.count.append(count)
+        return len(self.ids) - 1
+
+    def _agenda(self, chunk: str, skipped: tuple[int, ...]) -> int:
+        tried: list[int] = []
+        ids = self.segmenter.coded(self.segmenter._merge_short(self.segmenter.symbols(chunk), 0, skipped, tried))
+        start, rest = len(self.candidates), tried[skipped[-1] + 1 :] if skipped else tried
+        self.candidates.extend(rest)
+        return self._add(ids, skipped, start, len(rest))
+
+    def after(self, agenda: int, number: int, chunk: str) -> int:
+        """The agenda of the same word once candidate ``number`` of this one is skipped."""
+        # a word of SHORT characters has fewer than 3 * SHORT candidates
+        way = agenda * 3 * SHORT + number
+        if (found := self.next.get(way)) is None:
+            before = self.skipped[agenda]
+            found = self.next[way] = self._agenda(chunk, (*before, (before[-1] + 1 if before else 0) + number))
+        return found
+
+    def first_skips(self, agendas: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the occurrences that skip a candidate, ascending, and the number of the first."""
+        count = np.frombuffer(self.count, np.int64)[agendas]
+        who = np.repeat(np.arange(len(agendas)), count)
+        number = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        h = keys[who] ^ np.frombuffer(self.candidates, np.uint32)[np.frombuffer(self.start, np.int64)[agendas][who] + number]
+        # as in _skips
+        hit = np.flatnonzero((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) < np.uint64(threshold))
+        first = np.ones(len(hit), bool)
+        first[1:] = who[hit[1:]] != who[hit[:-1]]
+        hit = hit[first]
+        return who[hit], number[hit]
 
 
 def encode_texts(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """key, variant, n_tokens, ids_crc32 (ids as little-endian 32-bit integers), lossless, and with ``ids`` the ids."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(VARIANTS)), F.lit(0)).cast("long").alias("variant"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.lit(seed)).alias("variant"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("variant", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("variant")).cast("long"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

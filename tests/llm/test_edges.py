@@ -160,6 +160,20 @@ def test_agenda_forms_agree():
         assert s._merge_short(pieces[:], 77) == s._merge_long(pieces[:], 77)
 
 
+def test_each_occurrence_is_drawn_anew(monkeypatch):
+    s = merge_dropout.Segmenter(PIECES, 0.3, 5)
+    ids = lambda data: list(np.frombuffer(data, s.code))
+    words = ["segmentation", "the", "tokenization.", "x" * 60, "é▁,", "1234,"] * 300
+    for agendas in (merge_dropout.AGENDAS, 0):
+        monkeypatch.setattr(merge_dropout, "AGENDAS", agendas)
+        monkeypatch.setattr(merge_dropout, "BLOCK", 700)
+        for variant in (0, -(2**63), 12345):
+            each = [s.segment(w, int(s.keys(variant, i, 1)[0])) for i, w in enumerate(words)]
+            assert list(s.encode(" ".join(words), variant)) == ids(b"".join(each))
+    assert len(set(each[::6])) > 20
+    assert len({tuple(s.encode("segmentation", v)) for v in range(200)}) > 20
+
+
 def test_language(spark):
     rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 8, "en" if i % 2 else "de") for i in range(200)]
     docs = spark.createDataFrame([*rows, (500, None, "en"), (501, "123 !!", "en"), (502, "the dog", None), (502, "the dog", None), (None, "the dog and", "en")], "doc_id long, text string, lang string")
