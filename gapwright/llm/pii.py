@@ -1,15 +1,17 @@
 """Operator 4: personal data by candidate gradient boosting.
 
 Base patterns give spans of four kinds. High-recall generators then propose further spans, which
-may overlap; boosted trees over format and context features score each proposal of a span and a
-kind; a threshold calibrated on held-out examples selects. Everything over texts is a Spark
+may overlap: of a run of numbers every stretch from one separator to another with a usable count of
+digits. Boosted trees over format and context features score each proposal of a span and a kind; a
+threshold calibrated on held-out examples selects. Everything over texts is a Spark
 expression: patterns, offsets, features, and the trees as conditional sums.
 
 The trees are learned from labelled examples written by a seeded generator, whose features the
 same expressions compute.
 
 Defined results: a null or empty text has no spans; overlapping base spans of different kinds all
-stay; an accepted proposal that overlaps a base span, or an accepted one before it, is dropped;
+stay; an accepted proposal that overlaps a base span, or an accepted one of a higher score, is
+dropped; seven or eight digits are proposed only in the form of a local phone with a cue before them;
 repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,15 +38,20 @@ BASE = {
 }
 #: what a text must contain for a pattern to be tried
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: generators of proposals: (pattern, needed, fewest and most digits, kinds proposed)
+#: a run of numbers, and one number in it
+RUN, NUMBER = r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++", r"\+?\(?[0-9]++"
+#: fewest digits of a local phone, fewest and most of other numbers
+LOCAL, FEWEST, MOST = 7, 9, 19
+#: generators of proposals: (pattern, needed, kinds proposed, whether stretches of a match are proposed too)
 GENERATORS = (
-    (r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++", r"[0-9](?:[ ().-]{0,2}[0-9]){8}", 9, 19, ("card", "phone")),
-    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++", r"\[at\]|\(at\)|@", 0, 2**31 - 1, ("email",)),
+    (RUN, r"[0-9](?:[ ().-]{0,2}[0-9]){6}", ("card", "phone"), True),
+    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++", r"\[at\]|\(at\)|@", ("email",), False),
+    (r"(?:\G|(?<![0-9]))[0-9]++(?: ?(?:\[dot\]|\(dot\)|\[\.\]|\(\.\)|\.) ?[0-9]++){3}", r"[0-9] ?(?:[\[(](?:dot|\.)[\])]|\.) ?[0-9]", ("ip",), False),
 )
 CONTEXT = 24
 #: context words of a kind, and of numbers that are no personal data
 CUES = {"phone_cue": "tel|phone|call|mobile|fax|cell|whatsapp", "card_cue": "card|visa|master|credit|debit|amex|pay", "code_cue": "order|isbn|invoice|ref|serial|version|sku|ticket|part|build|timestamp|total"}
-FEATURES = ("for_card", "for_phone", "for_email", "n_digits", "n_marks", "n_dots", "plus", "paren", "luhn", "left_joined", "right_joined", "fours", "spelled", "date", *CUES)
+FEATURES = ("for_card", "for_phone", "for_email", "for_ip", "n_digits", "n_marks", "n_dots", "plus", "paren", "luhn", "left_joined", "right_joined", "fours", "spelled", "octets", "date", "phone_form", "local_form", "more_left", "more_right", *CUES)
 MAX_EXAMPLES, ROUNDS, RATE, TARGET_PRECISION = 6_000, 60, 0.3, 0.998
 
 
@@ -105,25 +112,60 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*map(of, KINDS)))
 
 
+def stretches(run: Column) -> Column:
+    """A run of numbers, and all stretches of whole numbers in it with a usable count of digits, as matches."""
+
+    def of(numbers: Column) -> Column:
+        def cut(first: Column, last: Column) -> Column:
+            start, end, v = first["start"], last["end"], run["value"]
+            piece = lambda at, n: F.substr(v, (at + 1).cast("int"), n.cast("int"))
+            left, right = piece(F.lit(0), start), piece(end, F.length(v) - end)
+            return F.struct(
+                (run["start"] + start).alias("start"), (run["start"] + end).alias("end"), piece(start, end - start).alias("value"),
+                F.right(F.concat(run["left"], left), F.lit(CONTEXT)).alias("left"), F.left(F.concat(right, run["right"]), F.lit(CONTEXT)).alias("right"),
+                F.length(digits(left)).alias("more_left"), F.length(digits(right)).alias("more_right"),
+            )
+
+        # each number has a digit, so no stretch of more than MOST numbers is usable
+        return F.flatten(F.transform(numbers, lambda a, i: F.transform(F.slice(numbers, i + 1, F.least(F.lit(MOST), F.size(numbers) - i)), lambda b: cut(a, b))))
+
+    return F.filter(let(found(run["value"], NUMBER, "[0-9]"), of), _usable)
+
+
+#: a local phone; its cue must stand before it
+LOCAL_FORM = r"^[0-9]{3}[ .-][0-9]{4}$|^[0-9]{4}[ .-][0-9]{4}$"
+PHONE_FORM = r"^(\+?[0-9]{1,3}[ .-])?(\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}([ .-])[0-9]{3}\3)[0-9]{4}$"
+
+
+def _usable(m: Column) -> Column:
+    n = F.length(digits(m["value"]))
+    return n.between(FEWEST, MOST) | (n.between(LOCAL, FEWEST - 1) & m["value"].rlike(LOCAL_FORM) & F.lower(m["left"]).rlike(CUES["phone_cue"]))
+
+
 def proposals(text: Column) -> Column:
     """Every proposed span and kind with its features."""
 
-    def of(pattern: str, need: str, fewest: int, most: int, kind: str) -> Column:
-        usable = F.filter(found(text, pattern, need), lambda m: F.length(digits(m["value"])).between(fewest, most))
-        return F.transform(usable, lambda m: let(digits(m["value"]), lambda d: _described(m, d, kind)))
+    def of(pattern: str, need: str, kinds: tuple[str, ...], inner: bool) -> Column:
+        whole = found(text, pattern, need)
+        if inner:
+            usable = F.flatten(F.transform(F.filter(whole, lambda m: F.length(digits(m["value"])) >= LOCAL), stretches))
+        else:
+            usable = F.transform(whole, lambda m: F.struct(*(m[f].alias(f) for f in ("start", "end", "value", "left", "right")), F.lit(0).alias("more_left"), F.lit(0).alias("more_right")))
+        return F.flatten(F.transform(usable, lambda m: let(digits(m["value"]), lambda d: F.array(*(_described(m, d, kind) for kind in kinds)))))
 
-    return F.concat(*(of(*form, kind) for *form, kinds in GENERATORS for kind in kinds))
+    return F.concat(*(of(*form) for form in GENERATORS))
 
 
 def _described(m: Column, number: Column, kind: str) -> Column:
     v, left = m["value"], F.lower(m["left"])
     one = lambda c: c.cast("double")
     values = {
-        "for_card": F.lit(float(kind == "card")), "for_phone": F.lit(float(kind == "phone")), "for_email": F.lit(float(kind == "email")),
+        "for_card": F.lit(float(kind == "card")), "for_phone": F.lit(float(kind == "phone")), "for_email": F.lit(float(kind == "email")), "for_ip": F.lit(float(kind == "ip")),
         "n_digits": one(F.length(number)), "n_marks": one(F.length(v) - F.length(number)), "n_dots": one(F.length(v) - F.length(F.replace(v, F.lit("."), F.lit("")))),
         "plus": one(v.startswith("+")), "paren": one(F.contains(v, F.lit("("))), "luhn": one(luhn(F.left(number, F.lit(19)))),
         "left_joined": one(m["left"].rlike(r"[A-Za-z0-9_.#/@-]$")), "right_joined": one(m["right"].rlike(r"^[A-Za-z0-9_/@]")),
-        "fours": one(v.rlike(r"^[0-9]{4}([ -]?[0-9]{4}){3}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}$")), "spelled": one(v.rlike(r"[\[(](at|dot)[\])]")), "date": one(v.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{2}[-./ ][0-9]{2}")),
+        "fours": one(v.rlike(r"^[0-9]{4}([ -]?[0-9]{4}){3}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}$")), "spelled": one(v.rlike(r"[\[(](at|dot|\.)[\])]")), "octets": one(v.rlike(r"^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([^0-9]+|$)){4}$")), "date": one(v.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{2}[-./ ][0-9]{2}")),
+        "phone_form": one(v.rlike(PHONE_FORM)), "local_form": one(v.rlike(LOCAL_FORM)), "more_left": one(F.least(m["more_left"], F.lit(MOST))), "more_right": one(F.least(m["more_right"], F.lit(MOST))),
     } | {name: one(left.rlike(words)) for name, words in CUES.items()}
     return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), *(values[f].alias(f) for f in FEATURES))
 
@@ -208,49 +250,59 @@ class Booster:
             out += np.where(at(t.top), np.where(at(t.low), *t.leaves[:2]), np.where(at(t.high), *t.leaves[2:]))
         return out
 
-    def accepts(self, c: Column) -> Column:
+    def scored(self, c: Column) -> Column:
         total = F.lit(self.bias)
         for t in self.trees:
             total = total + t.column(c)
-        return total > self.threshold
+        return total
 
 
 def examples(n: int = MAX_EXAMPLES // 3, seed: int = 11) -> list[tuple[str, str]]:
-    """Texts with one number or address each, and its kind (``none``: no personal data)."""
+    """Texts, and what is personal data in each: kind:start:end, joined by commas."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
     make = {
         "card": (lambda: num(16), lambda: num(16), lambda: " ".join(num(4) for _ in range(4)), lambda: "-".join(num(4) for _ in range(4)), lambda: f"{num(4)} {num(6)} {num(5)}", lambda: num(15)),
         "phone": (lambda: f"+{num(2)} {num(3)} {num(6)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}"),
+        "local": (lambda: f"{num(3)}-{num(4)}", lambda: f"{num(3)} {num(4)}", lambda: f"{num(4)} {num(4)}"),
+        "ip": tuple(lambda d=d: d.join(str(r.randint(0, 255)) for _ in range(4)) for d in ("[.]", "(.)", "[dot]", " (dot) ", ".")),
         "email": (lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()} (at) {word()}.org", lambda: f"{word()}{num(2)}@ {word()} .net"),
-        "none": (lambda: f"20{num(2)}-0{num(1)}-1{num(1)} 1{num(1)}", lambda: f"19{num(2)}.1{num(1)}.2{num(1)} 1{num(1)}.{num(2)}", lambda: f"{num(3)}.{num(3)}.{num(2)}.{num(3)}", lambda: num(r.randint(9, 12)), lambda: num(r.randint(21, 40)), lambda: f"{num(1)}.{num(1)}.{num(2)}.{num(3)}.{num(4)}", lambda: f"{word()}{num(16)}{word()}", lambda: f"{r.choice('abcdef')}{num(12)}{r.choice('abcdef')}{num(2)}", lambda: " ".join(num(2) for _ in range(7)), lambda: f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}"),
+        "none": (lambda: f"20{num(2)}-0{num(1)}-1{num(1)} 1{num(1)}", lambda: f"19{num(2)}.1{num(1)}.2{num(1)} 1{num(1)}.{num(2)}", lambda: f"{num(3)}.{num(3)}.{num(2)}.{num(3)}", lambda: num(r.randint(9, 12)), lambda: num(r.randint(21, 40)), lambda: f"{num(1)}.{num(1)}.{num(2)}.{num(3)}.{num(4)}", lambda: f"{word()}{num(16)}{word()}", lambda: f"{r.choice('abcdef')}{num(12)}{r.choice('abcdef')}{num(2)}", lambda: " ".join(num(2) for _ in range(7)), lambda: f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(1)} {num(3)} {num(3)} {num(3)}", lambda: r.choice((".", "[.]", "(dot)")).join((num(2), num(1), num(2), str(r.randint(256, 999))))),
     }
-    cue = {"card": ("card", "visa", "pay"), "phone": ("call", "tel", "phone"), "email": ("write", "mail"), "none": ("order", "isbn", "ref", "version", "total")}
+    cue = {"card": ("card", "visa", "pay"), "phone": ("call", "tel", "phone"), "local": ("call", "tel", "phone"), "email": ("write", "mail"), "ip": ("host", "from"), "none": ("order", "isbn", "ref", "version", "total")}
+    # two of a kind, or a date and a phone, side by side
+    beside = (("phone", "phone"), ("card", "card"), ("date", "phone"), ("phone", "card"))
     out = []
     for i in range(n):
-        kind = ("card", "phone", "email", "none", "none")[i % 5]
-        lead = r.choice((word(), r.choice(cue[kind])))
-        out.append((f"{word()} {lead} {r.choice(make[kind])()} {word()}", kind))
+        kinds = (("card",), ("phone",), ("email",), ("none",), ("none",), ("ip",), ("local",), beside[i // 10 % 4], beside[i // 10 % 4], ("phone",))[i % 10]
+        lead = r.choice(cue[kinds[-1]]) if kinds == ("local",) else r.choice((word(), r.choice(cue[kinds[-1]])))
+        text, spans, form = f"{word()} {lead}", [], r.choice(make["phone"])
+        for kind in kinds:
+            value = f"20{num(2)}-0{num(1)}-1{num(1)}" if kind == "date" else form() if kinds == ("phone", "phone") else r.choice(make[kind])()
+            spans += [f"{'phone' if kind == 'local' else kind}:{len(text) + 1}:{len(text) + 1 + len(value)}"] if kind not in ("none", "date") else []
+            text += f" {value}"
+        out.append((f"{text} {word()}", ",".join(spans)))
     return out
 
 
 def learn(spark: SparkSession) -> Booster:
     """Trees from the written examples; at most MAX_EXAMPLES proposals come to the driver."""
     df = spark.createDataFrame(examples(), "text string, label string")
-    rows = df.select("text", "label", F.explode(proposals(F.col("text"))).alias("p")).select("text", "label", "p.*").orderBy(F.xxhash64("text"), "kind", "start").limit(MAX_EXAMPLES).collect()
+    rows = df.select("text", "label", F.explode(proposals(F.col("text"))).alias("p")).select("text", "label", "p.*").orderBy(F.xxhash64("text"), "kind", "start", "end").limit(MAX_EXAMPLES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], float)
-    return Booster.learn(x, np.array([r.label == KINDS[r.kind] for r in rows]))
+    return Booster.learn(x, np.array([f"{KINDS[r.kind]}:{r.start}:{r.end}" in r.label.split(",") for r in rows]))
 
 
 def all_spans(base: Column, proposed: Column, model: Booster) -> Column:
-    """Base spans and the accepted proposals that overlap none of them nor each other, ascending."""
-    clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    plain = F.transform(F.filter(proposed, lambda c: clear(c) & model.accepts(c)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    """Base spans and the accepted proposals that overlap none of them nor an accepted one of a higher score, ascending."""
+    meets = lambda spans, c: F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    scored = F.transform(F.filter(proposed, lambda c: ~meets(base, c)), lambda c: F.struct((-model.scored(c)).alias("cost"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    best = F.sort_array(F.filter(scored, lambda c: c["cost"] < -model.threshold))
+    plain = F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     spans = "array<struct<start:bigint,kind:int,end:bigint>>"
-    zero = F.array().cast(spans)
-    after = lambda acc, c: F.when((F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["end"] <= c["start"]), F.concat(acc, F.array(c))).otherwise(acc)
-    return F.sort_array(F.concat(base, F.aggregate(F.sort_array(plain).cast(spans), zero, after)))
+    add = lambda acc, c: F.when(meets(acc, c), acc).otherwise(F.concat(acc, F.array(c)))
+    return F.sort_array(F.concat(base, F.aggregate(plain.cast(spans), F.array().cast(spans), add)))
 
 
 def joined(spans: Column) -> Column:

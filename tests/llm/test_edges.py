@@ -337,3 +337,15 @@ def test_formats_of_personal_data(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FORMATS)], "doc_id long, text string")
     got = pii.find_personal_data(docs, pii.learn(spark)).select("doc_id", pii.joined(pii.F.col("found")).alias("spans")).orderBy("doc_id").collect()
     assert [r.spans for r in got] == [want for _, want in FORMATS]
+
+
+SIDE_BY_SIDE = [
+    ("reach 555-123-4567 555-987-6543 today", "phone:6:18,phone:19:31"), ("call (212) 555-1234 (212) 555-9876 now", "phone:5:19,phone:20:34"), ("on 2024-01-31 017-555-7713 x", "phone:14:26"),
+    ("call 555-7713 now", "phone:5:13"), ("part 555-7713 now", ""), ("from 10[.]20[.]30[.]40 to", "ip:5:22"), ("from 10[.]20[.]30[.]400 to", ""),
+]
+
+
+def test_stretches_of_runs_are_proposed(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SIDE_BY_SIDE)], "doc_id long, text string")
+    got = pii.find_personal_data(docs, pii.learn(spark)).select("doc_id", pii.joined(pii.F.col("found")).alias("spans")).orderBy("doc_id").collect()
+    assert [r.spans for r in got] == [want for _, want in SIDE_BY_SIDE]
