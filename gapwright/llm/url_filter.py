@@ -1,7 +1,8 @@
 """Operator 10: URL rules, then host word segmentation and a naive Bayes verdict.
 
-A host's labels are split into words by unigram Viterbi; a multinomial naive Bayes model over
-host words and path tokens gives the verdict where no rule fits.
+A host's labels are split into words by unigram Viterbi, with counts of the words in all pages'
+paths and texts; a multinomial naive Bayes model over host words and path tokens gives the verdict
+where no rule fits. Its weights are from the labelled lines below, a small sample written for it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 is allowed or blocked by the prior alone; repeated rows give repeated results; an empty table
@@ -13,20 +14,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import stored, table
 
 #: (rule, verdict); a rule is a host and a path from its first slash
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Labelled host names and path words from which the model is trained: (text, verdict).
+#: Labelled lines of words from which the verdicts are learned: (text, verdict). None is a host or path of the tables.
 TRAINING = (
-    ("cheap-pills buy pills online", "block"), ("spam farm links spam", "block"), ("free casino bonus win", "block"),
     ("adult video hot xxx", "block"), ("replica watches cheap sale", "block"), ("payday loan fast cash", "block"),
     ("porn free adult", "block"), ("poker bet casino jackpot", "block"), ("viagra pharmacy cheap pills", "block"),
     ("click win prize free", "block"), ("seo backlinks farm traffic", "block"), ("malware crack keygen warez", "block"),
@@ -36,29 +36,31 @@ TRAINING = (
     ("health hospital care info", "allow"), ("school education learning course", "allow"), ("weather report daily", "allow"),
     ("music concert review", "allow"), ("sports league news", "allow"), ("book review writer", "allow"),
     ("government public service", "allow"), ("garden home ideas", "allow"), ("software project wiki help", "allow"),
-    ("example www page article en", "allow"), ("m blog page article fr", "allow"), ("www example index de es", "allow"),
 )
 
 #: host labels that say where a page is served, not what it is about
 PLUMBING = frozenset("www m blog com net org example".split())
+#: a word of pages, and how many of the most frequent ones the segmentation knows
+WORD, VOCABULARY = "[a-z0-9]{2,32}", 200_000
 
 
 class HostModel:
-    """Unigram word costs for the segmentation and naive Bayes word weights, both from labelled texts."""
+    """Unigram word costs for the segmentation, from counted and labelled words, and naive Bayes word weights from labelled texts."""
 
     #: cost in nats of one character in a word never seen; a word's own start costs as much again
     UNKNOWN = math.log(26.0)
 
-    def __init__(self, labelled: Iterable[tuple[str, str]] = TRAINING, smoothing: float = 0.5):
+    def __init__(self, labelled: Iterable[tuple[str, str]] = TRAINING, smoothing: float = 0.5, counted: Mapping[str, int] | None = None):
         counts: dict[str, Counter[str]] = {"allow": Counter(), "block": Counter()}
         docs: Counter[str] = Counter()
         for text, verdict in labelled:
             docs[verdict] += 1
             counts[verdict].update(w for w in re.split(r"[^a-z0-9]+", text.lower()) if w and w not in PLUMBING)
         total = counts["allow"] + counts["block"]
-        n = sum(total.values())
-        self.cost = {w: math.log(n / c) for w, c in total.items()}
-        self.longest = max(map(len, total), default=1)
+        known = total + Counter(counted or {})
+        n = sum(known.values())
+        self.cost = {w: math.log(n / c) for w, c in known.items()}
+        self.longest = max(map(len, known), default=1)
         self.prior = math.log((docs["block"] + 1) / (docs["allow"] + 1))
         size = {v: sum(c.values()) + smoothing * (len(total) + 1) for v, c in counts.items()}
         self.weight = {w: math.log((counts["block"][w] + smoothing) / size["block"]) - math.log((counts["allow"][w] + smoothing) / size["allow"]) for w in total}
@@ -99,6 +101,22 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
 
 
+def count_words(pages: DataFrame, url: str = "url", html: str = "html", most: int = VOCABULARY) -> dict[str, int]:
+    """Counts of the most frequent words of all paths and page texts. Hosts aren't counted: their labels are what is to be split."""
+    shown = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", split_url(F.col(url))[1], shown)), F.lit(rf"(?<![\p{{L}}0-9]){WORD}(?![\p{{L}}0-9])"), F.lit(0))
+    counts = pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = stored(counts, "page-words")
+    # the driver gets sizes of words of one count, then the words: a sort with a limit would send it the first of every partition
+    least, room, share = 1, most, 1.0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+        least, share, room = r.n, min(1.0, room / r.words), room - r.words
+        if room <= 0:
+            break
+    kept = (F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    return {r.word: r.n for r in counts.where(kept).collect()}
+
+
 def matching_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, or nulls. The rules are a parameter of the plan."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -128,4 +146,5 @@ def judge_urls(pages: DataFrame, model: HostModel, key: str = "page_id", url: st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), HostModel())
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, HostModel(counted=count_words(pages)))

@@ -326,6 +326,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), model).collect() == []
 
 
+def test_hosts_are_split_by_the_words_of_pages(spark):
+    html = "<p class=zz>Zebra, quilts</p><script>var hidden = 'zebraquilts'</script><b>zebra</b> größe"
+    pages = spark.createDataFrame([(1, "http://zebraquilts.example.com/lanterns/1", html), (2, None, None), (3, "http://x.org/", "zebra quilts")], "page_id long, url string, html string")
+    counted = url_filter.count_words(pages)
+    assert counted == {"zebra": 3, "quilts": 2, "lanterns": 1}
+    assert url_filter.count_words(pages, most=1) == {"zebra": 3} and url_filter.count_words(pages.limit(0)) == {}
+    assert url_filter.HostModel(counted=counted).segment("zebraquilts") == ["zebra", "quilts"]
+    query = url_filter.judge_urls(pages, url_filter.HostModel(counted=counted)).where("page_id = 1").head()
+    assert query.host_words == "zebra quilts"
+
+
 FORMATS = [
     ("call (017) 555-7713 now", "phone:5:19"), ("reach 017-555-7713 today", "phone:6:18"), ("pay 4111-1111-1111-1112 soon", "card:4:23"), ("john [at] example [dot] com", "email:0:27"), ("mail jo.b(at)site.org", "email:5:21"),
     ("thing 4716221051885663, next", "card:6:22"), ("on 2024-01-31 12:30", ""), ("order 123456789 done", ""), ("isbn 978-3-16-148410-0", ""), ("num 1234567890 x", ""), ("ids 12 34 56 78 90 12", ""), ("192.168.1.300", ""),
