@@ -68,6 +68,17 @@ def test_paths(spark, root):
         paths.corpus_root(str(root), "none")
 
 
+def test_long_series_are_drawn_whole():
+    size, spike = (192, 96), np.zeros(10_000)
+    for at, x in ((5003, 96), (0, 0), (9999, 191)):
+        spike[:] = 0
+        spike[at] = 9
+        drawn = images.draw(spike, size, grid=False)
+        assert drawn[:10, x].min() == 90 and drawn[85:, x].min() == 90
+    ramp = images.draw(np.arange(10_000.0), size, grid=False) == 90
+    assert ramp.any(axis=0).all() and ramp.sum() < 5 * 192
+
+
 def test_images(spark, tmp_path):
     picture = np.random.default_rng(1).integers(0, 256, (20, 30), dtype=np.uint8)
     (tmp_path / "a.png").write_bytes(images.png(picture))
