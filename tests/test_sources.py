@@ -79,6 +79,13 @@ def test_long_series_are_drawn_whole():
     assert ramp.any(axis=0).all() and ramp.sum() < 5 * 192
 
 
+def test_queries_draw_and_view_in_full_size(spark):
+    from gapwright.plans import io_queries
+
+    views = io_queries.image_view(spark, "/root/testdata/sf0.001")
+    assert {r.n_pixels for r in views.collect()} == {224 * 224} and io_queries.HIDDEN == 128
+
+
 def test_images(spark, tmp_path):
     picture = np.random.default_rng(1).integers(0, 256, (20, 30), dtype=np.uint8)
     (tmp_path / "a.png").write_bytes(images.png(picture))
