@@ -73,18 +73,19 @@ def slices(off: np.ndarray, most: int = SEGMENT) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def _hash_segment(codes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sum_segment(codes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, polynomial sum (from the word's own start) and length of the words of a segment."""
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_CODES[codes] * _UP[: len(codes)], out=total[1:])
-    return start, mix((total[end] - total[start]) * _DOWN[start] + (end - start).astype(np.uint64))
+    return start, (total[end] - total[start]) * _DOWN[start], (end - start).astype(np.uint64)
 
 
 def word_hashes(raw: np.ndarray, off: np.ndarray, separator: np.ndarray = ASCII_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and n + 1 offsets of each text's words.
 
-    A word longer than SEGMENT bytes is hashed in pieces of SEGMENT bytes, the same way each time.
+    A word longer than SEGMENT bytes is summed over its segments: one word, one hash, at any length.
     """
     n = len(off) - 1
     # a separator after each text keeps words of neighbours apart
@@ -95,19 +96,29 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, separator: np.ndarray = ASCII_
     padded[keep] = LOWER[raw] if lower else raw
     word = ~separator[padded]
     word[at[1:] - 1] = False
-    starts, hashes, i = [], [], 0
+    starts, sums, sizes, i, inside = [], [], [], 0, False
     while i < len(padded):
         j = min(i + SEGMENT, len(padded))
-        if j < len(padded) and word[j - 1] and word[j]:
+        cut = j < len(padded) and word[j - 1] and word[j]
+        if cut:
             gap = np.flatnonzero(~word[i:j])
             if len(gap):
-                j = i + int(gap[-1]) + 1
-        s, h = _hash_segment(padded[i:j], word[i:j])
-        starts.append(s + i)
-        hashes.append(h)
-        i = j
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(start, at)
+                j, cut = i + int(gap[-1]) + 1, False
+        start, total, size = _sum_segment(padded[i:j], word[i:j])
+        if inside:
+            # the first word here goes on from the last one of the segments before
+            place = np.uint64(pow(_BASE, int(sizes[-1][-1]), 2**64))
+            sums[-1][-1:] += total[:1] * place
+            sizes[-1][-1:] += size[:1]
+            start, total, size = start[1:], total[1:], size[1:]
+        if len(start):
+            starts.append(start + i)
+            sums.append(total)
+            sizes.append(size)
+        i, inside = j, cut
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    return mix(np.concatenate(sums) + np.concatenate(sizes)), np.searchsorted(np.concatenate(starts), at)
 
 
 def shingles(words: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
