@@ -85,19 +85,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel | None:
-    """Learns from the rows in order; every fifth is kept for the calibration."""
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct buckets of a text's subwords, and how often each occurs."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    grams, _ = subwords(raw, np.array([0, len(raw)]))
+    return np.unique(np.concatenate(grams), return_counts=True)
+
+
+def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> LanguageModel | None:
+    """Learns from rows of ``bucket_counts`` in order; every fifth is kept for the calibration."""
     languages = tuple(sorted(set(labels)))
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     y = np.searchsorted(np.array(languages), np.array(labels))
-    grams = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        g, _ = subwords(raw, np.array([0, len(raw)]))
-        grams.append(np.unique(np.concatenate(g), return_counts=True))
-    kept = np.arange(len(texts)) % 5 == 4
+    kept = np.arange(len(grams)) % 5 == 4
     emb = rng.normal(0, 0.1, (1 << BUCKETS_LOG2, DIMENSIONS))
     weights, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
     rows = np.flatnonzero(~kept)
@@ -131,10 +133,19 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel |
 
 
 def learn(docs: DataFrame, most: int = MAX_LABELLED) -> LanguageModel | None:
+    """The driver gets no texts but their counts of at most 2 ** BUCKETS_LOG2 buckets."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    # the texts are no part of what is counted; one that is null or has no letter teaches nothing
-    rows = lowest_hashes(usable.select("doc_id", "text", "lang"), "doc_id", most).where(F.col("text").rlike(r"\p{L}")).collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    # one that is null or has no letter teaches nothing
+    chosen = lowest_hashes(usable.select("doc_id", "text", "lang"), most, "doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bucket_counts(t) for t in batch.column("text").to_pylist()]
+            blobs = [pa.array([x.astype("<u4").tobytes() for x in side], pa.binary()) for side in (zip(*found, strict=True) if found else ((), ()))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *blobs], ["lang", "ids", "counts"])
+
+    rows = chosen.select("text", "lang").mapInArrow(count, "lang string, ids binary, counts binary").collect()
+    return train([(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4")) for r in rows], [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
