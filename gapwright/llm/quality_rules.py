@@ -8,7 +8,8 @@ becomes one ordered conditional expression, so scoring adds no shuffle and no Py
 Defined results: a null or empty text has no words, all its statistics are 0 and the base test
 fails it; a null label is no label; of several labels of a document the lowest counts; without
 labels of both kinds the list is empty and only the base test decides; repeated rows give
-repeated results; other columns are ignored.
+repeated results; other columns pass through, but those named as the results (``stats``,
+``base_failed``, ``kept``) are replaced by them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = MAX_LABE
     statistics of every text.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    chosen = lowest_hashes(chosen, "doc_id", most)
+    chosen = lowest_hashes(chosen, most, "doc_id")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.select("doc_id", "bad", statistics(F.col("text")).alias("stats")).select("doc_id", "bad", base_failed().alias("base_failed"), *(v.alias(k) for k, v in features().items()))
 
@@ -212,10 +213,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Decis
     return DecisionList.learn(columns, np.array([r.bad for r in rows], bool))
 
 
-def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """All columns of ``docs``, the struct ``stats``, ``base_failed`` and ``kept``."""
-    scored = docs.withColumn("stats", statistics(F.col("text")))
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rules.rejects(features()))
+def apply_rules(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the struct ``stats``, ``base_failed`` and ``kept``; columns of these names are replaced."""
+    # the rows in a struct, so that no name of theirs meets one of ours
+    scored = docs.select(F.struct("*").alias("row"), statistics(F.col(text)).alias("stats"))
+    results = {"stats": F.col("stats"), "base_failed": base_failed(), "kept": ~base_failed() & ~rules.rejects(features())}
+    return scored.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in results), *(v.alias(k) for k, v in results.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
