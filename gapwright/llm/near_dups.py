@@ -15,9 +15,17 @@ forms families: the members of all buckets with the same largest component. The
 task: sketches first, then the full sets of those with a likely partner; only links come out. So
 each pair that shares a bucket is linked, already in one component, or refused on its own figures.
 
-Defined results: a null or empty text has an empty set, is linked with nothing and kept; rows equal
-in key are one vertex; rows with a null key are linked with nothing and kept, their component null;
-repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+Keys and buckets that hold a large share of the rows are met through ``skew.meet``: their few
+partners are broadcast, a bounded number of rows, and no task gets them all. What is left of a
+family costs guests times members comparisons; it is dealt over the cluster block by block, and no
+pair is shuffled.
+
+Defined results: a null or empty text has an empty set and is linked with nothing; rows equal in key
+are one vertex, also where their texts differ, so they share a component; rows with a null key are
+linked with nothing and kept, their component null; repeated rows give repeated results; an empty
+table gives no rows; other columns are ignored. ``one_of_each`` tells rows by key and text instead:
+of a component it keeps one row, the first by key and text hash, null keys last; equal rows count as
+copies, empty texts stay.
 """
 
 from __future__ import annotations
@@ -30,7 +38,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored, table
+from .skew import meet, small
+from .storage import discard, stored, table
 from .textkernel import buffers, mix, shingles, slices, word_hashes
 
 REGISTERS, ROWS = 160, 5
@@ -43,8 +52,8 @@ MARGIN = 0.16
 MEETINGS = 2
 #: members and guests of a family that a task compares at once, about
 BLOCK = 512
-#: ids of 8 bytes that may be broadcast; beyond it the join is shuffled
-IDS_BROADCAST = 500_000
+#: numbers from here on stand for sets whose least key another set has too, and for null keys
+SURROGATE = 2**62
 
 _RNG = np.random.default_rng(90125)
 _A = _RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -102,7 +111,7 @@ def estimate_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.n
 
 
 def sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """A row per text: doc_id, n_shingles, two sums that tell its set, registers and band keys (null for an empty set)."""
+    """A row per text: doc_id, th (hash of the text), n_shingles, two sums that tell its set, registers and band keys (null for an empty set)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,18 +131,18 @@ def sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                     for x, y, z in zip(full.tolist(), r, band_keys(r).tolist(), strict=True):
                         regs[x], bands[x] = y.tobytes(), z
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n), pa.array(size, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "s1", "s2", "registers", "bands"],
+                    [batch.column("doc_id").slice(i, n), batch.column("th").slice(i, n), pa.array(size, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "n_shingles", "s1", "s2", "registers", "bands"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, s1 long, s2 long, registers binary, bands array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(sketch, "doc_id long, th long, n_shingles long, s1 long, s2 long, registers binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """The full sets of the texts named in ``ids`` (doc_id)."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids, "doc_id", "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """The full sets of the texts named in ``wanted`` (vertex, doc_id, th), by vertex."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    rows = rows.join(small(wanted), ["doc_id", "th"]).select("vertex", "text")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +150,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> Dat
             for i, j in slices(off):
                 sets, at = unique_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 blobs = [sets[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("vertex").slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "set"])
 
-    return rows.mapInArrow(collect, "doc_id long, set binary")
+    # rows equal in key and text have equal sets
+    return rows.mapInArrow(collect, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
 def _likely(pairs: DataFrame, vertices: DataFrame, similarity: float) -> DataFrame:
@@ -192,14 +202,15 @@ def connected(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.col("vertex"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("vertex").alias("b"), "label"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = lower.select(F.col("vertex").alias("label"), F.col("label").alias("further"))
-        new = stored(lower.join(jump, "label").select("vertex", "old", F.least("label", "further").alias("label")), "labels")
-        done = new.where("old <> label").isEmpty()
-        labels = new.select("vertex", "label")
-        if done:
-            return labels
+        near = both.join(small(labels.select(F.col("vertex").alias("b"), "label")), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("near"))
+        lower = stored(labels.join(near, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        met = stored(lower.groupBy("label").agg(F.count("*").alias("n")).join(lower.select(F.col("vertex").alias("label"), F.col("label").alias("further")), "label"), "labels")
+        new = stored(meet(lower, met, ["label"], "n").select("vertex", "old", F.least("label", "further").alias("label")), "labels")
+        discard(lower, met, labels)
+        if new.where("old <> label").isEmpty():
+            discard(both)
+            return new.select("vertex", "label")
+        labels = new
 
 
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,21 +221,32 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     if between.isEmpty():
         return labels
     found = connected(between).select(F.col("vertex").alias("label"), F.col("label").alias("least"))
-    return stored(labels.join(found, "label", "left").select("doc_id", F.coalesce("least", "label").alias("label")), "components")
+    sizes = stored(labels.groupBy("label").agg(F.count("*").alias("n")).join(found, "label"), "component-sizes")
+    joined = meet(labels, sizes, ["label"], "n", "left")
+    out = stored(joined.select("doc_id", F.coalesce("least", "label").alias("label")), "components")
+    discard(between, sizes, labels)
+    return out
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with labels, of the buckets that hold two components or more."""
-    labelled = members.join(labels, "doc_id")
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    return stored(labelled.join(apart, "bucket", "left_semi"), "open-buckets")
+    labelled = stored(members.join(labels, "doc_id"), "labelled")
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+    out = stored(meet(labelled, stored(apart, "apart"), ["bucket"], "n"), "open-buckets")
+    discard(labelled)
+    return out
+
+
+def _hosts(apart: DataFrame, meeting: int = 0) -> DataFrame:
+    """Of each bucket: how many rows, the label of its largest component, and a member of that (``a``)."""
+    size = apart.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(meeting)).alias("h"), "doc_id")).alias("pick"))
+    host = size.groupBy("bucket").agg(F.max(F.struct("n", "label", "pick.doc_id")).alias("m"), F.sum("n").alias("n"))
+    return stored(host.select("bucket", "n", F.col("m.label").alias("host"), F.col("m.doc_id").alias("a")), "hosts")
 
 
 def _families(rest: DataFrame) -> DataFrame:
     """Members (family, doc_id, label) of the open buckets by their largest component; guests have another label."""
-    size = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    host = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("family"))
-    return rest.join(host, "bucket").select("family", "doc_id", "label").distinct()
+    return meet(rest, _hosts(rest), ["bucket"], "n").select(F.col("host").alias("family"), "doc_id", "label").distinct()
 
 
 def _in_blocks(families: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
@@ -233,8 +255,8 @@ def _in_blocks(families: DataFrame, data: DataFrame, compare, schema: str) -> Da
     A guest goes to each member block and a member to each guest block, so a group has about
     2 * BLOCK rows however large its family is.
     """
-    counts = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("m"), F.ceil(F.count_if(F.col("label") != F.col("family")) / BLOCK).alias("g")).where("g > 0")
-    rows = families.join(counts, "family")
+    counts = families.groupBy("family").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("m"), F.ceil(F.count_if(F.col("label") != F.col("family")) / BLOCK).alias("g")).where("g > 0")
+    rows = meet(families, stored(counts, "family-sizes"), ["family"], "n")
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = rows.select("family", "doc_id", "label", F.lit(False).alias("guest"), every("g").alias("i"), place("m").alias("j"))
@@ -301,17 +323,41 @@ def _links_in_blocks(families: DataFrame, sets: DataFrame, percent: int) -> Data
     return _in_blocks(families, sets, compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_shingles, component_id (least key of the component) and kept."""
-    every = stored(sketches(docs, k, key, text), "sketches")
-    sketched = every.where(F.col("registers").isNotNull() & F.col("doc_id").isNotNull())
-    copies = ["n_shingles", "s1", "s2"]
-    vertices = stored(sketched.groupBy(*copies).agg(F.min_by(F.struct("registers", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("doc_id", *copies, "s.registers", "s.bands"), "vertices")
+CLASS = ["n_shingles", "s1", "s2"]
+
+
+def _keys_of_several_sets(every: DataFrame) -> DataFrame:
+    """doc_id of rows that are equal in key and not in set."""
+    sets = F.struct(*CLASS)
+    return stored(every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sets).alias("x"), F.max(sets).alias("y"), F.count("*").alias("n")).where("x <> y").select("doc_id", "n"), "mixed-keys")
 
-    bands = vertices.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("bucket", "least")
-    members = stored(bands.join(shared, "bucket"), "bucket-members")
-    sets = stored(sets_of(docs, stored(members.select("doc_id").distinct(), "members"), k, key, text), "sets")
+
+def _vertices(every: DataFrame, mixed: DataFrame) -> DataFrame:
+    """One row a set that is not empty: vertex (unique), doc_id (least key) and th of one of its texts, set sums, registers and bands."""
+    sketched = every.where(F.col("registers").isNotNull() & F.col("doc_id").isNotNull())
+    one = F.min_by(F.struct("doc_id", "th", "registers", "bands"), F.struct("doc_id", "th")).alias("s")
+    vertices = stored(sketched.groupBy(*CLASS).agg(one).select("s.*", *CLASS), "vertices")
+    if mixed.isEmpty():
+        return vertices.withColumn("vertex", F.col("doc_id"))
+    # sets with the same least key get numbers of their own, but for the first
+    first = stored(vertices.groupBy("doc_id").agg(F.min(F.struct(*CLASS)).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-sets")
+    named = meet(vertices, first, ["doc_id"], "n", "left")
+    own = F.lit(SURROGATE) + F.xxhash64("doc_id", *CLASS).bitwiseAND(2**61 - 1)
+    return stored(named.withColumn("vertex", F.when(F.col("first").isNull() | (F.col("first") == F.struct(*CLASS)), F.col("doc_id")).otherwise(own)).drop("first"), "vertices")
+
+
+def _components(docs: DataFrame, k: int, percent: int, key: str, text: str, one_key_one_vertex: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sketches`` with the label of their component (null for empty sets and null keys), and the keys of several sets."""
+    every = stored(sketches(docs, k, key, text), "sketches")
+    mixed = _keys_of_several_sets(every)
+    known = _vertices(every, mixed)
+    vertices = known.select(F.col("vertex").alias("doc_id"), "n_shingles", "registers")
+
+    bands = known.select(F.col("vertex").alias("doc_id"), F.explode("bands").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "least", "n")
+    members = stored(meet(bands, stored(shared, "shared-buckets"), ["bucket"], "n"), "bucket-members")
+    wanted = stored(members.select(F.col("doc_id").alias("vertex")).distinct().join(known.select("vertex", "doc_id", "th"), "vertex"), "members")
+    sets = stored(sets_of(docs, wanted, k, key, text), "sets")
     similarity = percent / 100
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -324,23 +370,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     for meeting in range(MEETINGS):
         if apart.isEmpty():
             break
-        size = apart.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(meeting)).alias("h"), "doc_id")).alias("pick"))
-        host = size.groupBy("bucket").agg(F.max(F.struct("n", "label", "pick.doc_id")).alias("m")).select("bucket", F.col("m.label").alias("host"), F.col("m.doc_id").alias("a"))
-        guests = apart.join(host, "bucket").where("label <> host").groupBy(F.col("doc_id").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(meeting))).alias("a")).select("a", "b")
+        guests = meet(apart, _hosts(apart, meeting), ["bucket"], "n").where("label <> host").groupBy(F.col("doc_id").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(meeting))).alias("a")).select("a", "b")
         labels = _merged(labels, linked(guests))
-        apart = _open_buckets(apart.drop("label"), labels)
+        met = apart
+        apart = _open_buckets(met.drop("label"), labels)
+        discard(met)
     if not apart.isEmpty():
         families = stored(_families(apart), "families")
         likely = stored(_likely_in_blocks(families, vertices, similarity), "likely")
-        labels = _merged(labels, stored(_links_in_blocks(families.join(likely, ["family", "doc_id"], "left_semi"), sets, percent), "links"))
+        labels = _merged(labels, stored(_links_in_blocks(stored(families.join(likely, ["family", "doc_id"], "left_semi"), "likely-families"), sets, percent), "links"))
+    if one_key_one_vertex and not mixed.isEmpty():
+        labels = _merged(*_joined_by_key(every, mixed, known, labels))
+
+    vertex = known.join(labels.select(F.col("doc_id").alias("vertex"), "label"), "vertex", "left").select(*CLASS, F.coalesce("label", "vertex").alias("label"))
+    sizes = every.groupBy(*CLASS).agg(F.count("*").alias("n")).join(vertex, CLASS)
+    return meet(every.drop("registers", "bands"), stored(sizes, "labelled-sets"), CLASS, "n", "left"), mixed
+
+
+def _joined_by_key(every: DataFrame, mixed: DataFrame, known: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels that also name the sets of the keys of several sets, and edges between those of one key."""
+    of_key = meet(every.where("n_shingles > 0").select("doc_id", *CLASS), mixed, ["doc_id"], "n").distinct()
+    of_key = stored(of_key.join(known.select("vertex", *CLASS), CLASS).select(F.col("doc_id").alias("key"), "vertex"), "sets-of-keys")
+    least = stored(of_key.groupBy("key").agg(F.min("vertex").alias("a"), F.count("*").alias("n")), "least-sets")
+    edges = meet(of_key, least, ["key"], "n").where("a < vertex").select("a", F.col("vertex").alias("b"))
+    more = of_key.select(F.col("vertex").alias("doc_id")).distinct().join(labels, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("label"))
+    return stored(labels.unionByName(more), "components"), stored(edges.distinct(), "links")
+
 
-    vertex = vertices.join(labels, "doc_id", "left").select(*copies, F.coalesce("label", "doc_id").alias("component"))
-    # rows that share a key share a component, whatever their sets
-    out = every.select("doc_id", *copies).join(vertex, copies, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per row of ``docs``: doc_id, n_shingles, component_id (least key of the component) and kept."""
+    rows, mixed = _components(docs, k, percent, key, text, True)
+    rows = rows.where("doc_id IS NOT NULL").unionByName(rows.where("doc_id IS NULL").withColumn("label", F.lit(None).cast("long")))
+    if not mixed.isEmpty():
+        # an empty text whose key has another text too belongs to the key's component
+        rows = stored(rows, "labelled")
+        of_key = meet(rows, mixed, ["doc_id"], "n").groupBy("doc_id").agg(F.min("label").alias("of_key"), F.count("*").alias("n"))
+        rows = meet(rows, stored(of_key, "components-of-keys"), ["doc_id"], "n", "left").withColumn("label", F.coalesce("label", "of_key"))
+    out = rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each component is kept; all columns, whatever their names."""
+    # a null key is a key of its own for each text, after all others
+    own = F.coalesce(F.col(key).cast("long"), F.lit(SURROGATE) + F.xxhash64(text).bitwiseAND(2**61 - 1))
+    rows = docs.select(F.struct("*").alias("row"), own.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    labelled = _components(rows.select("doc_id", "text"), k, percent, "doc_id", "text", False)[0]
+    labelled = stored(labelled.where("label IS NOT NULL").select("doc_id", "th", "label"), "labelled")
+    place = F.struct("doc_id", "th")
+    groups = stored(labelled.groupBy("label").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1"), "groups")
+    grouped = meet(labelled, groups, ["label"], "n")
+    first = F.col("least") == place
+    dropped = stored(grouped.where(~first).select("doc_id", "th").distinct(), "dropped")
+    kept = rows.join(small(dropped), ["doc_id", "th"], "left_anti")
+    # equal rows are at one place; one of them stays
+    again = stored(grouped.where(first).groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "repeated")
+    if not again.isEmpty():
+        once = kept.join(small(again), ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.any_value("row").alias("row"))
+        kept = kept.join(small(again), ["doc_id", "th"], "left_anti").select("row").unionByName(once.select("row"))
+    return kept.select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
