@@ -73,6 +73,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).collect() == []
 
 
+def test_line_dedup_extends_matches(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, f"{a}\n{b}\nx"), (2, f"{a}\n\n{b}\ny"), (3, f"{a}\n{b}\nx"), (4, f"z\n{a}\nother"), (5, f"{b}\nx"), (6, f"{a}\n{b}\n{a}\n{b}\n{a}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "y", 3: "", 4: "z\nother", 5: f"{b}\nx", 6: ""}
+
+
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    rows = spark.createDataFrame([(1, "a\nb", 7, "x", 8, "y", "z")], "key long, text string, n_lines long, _id string, id long, _runs string, runs string")
+    got = line_dedup.dedup_lines(rows, key="key").head().asDict()
+    assert got == {"key": 1, "text": "a\nb", "_id": "x", "id": 8, "_runs": "y", "runs": "z", "n_lines": 2, "n_removed": 0}
+
+
+def test_quality_with_columns_of_its_own_names(spark):
+    rows = spark.createDataFrame([(1, "a b", "s", 3, "k", "r")], "doc_id long, text string, stats string, base_failed int, kept string, row string")
+    got = quality_rules.apply_rules(rows, quality_rules.DecisionList([])).head()
+    assert (got.doc_id, got.text, got.row, got.stats.n_words, got.base_failed, got.kept) == (1, "a b", "r", 2, True, False)
+    assert quality_rules.apply_rules(rows.limit(0), quality_rules.DecisionList([])).collect() == []
+
+
 def test_line_dedup_keeps_the_first_of_an_overlapping_repeat(spark):
     line = " ".join(["same"] * 25)
     got = line_dedup.dedup_lines(frame(spark, [(1, "\n".join([line] * 7))])).head()
@@ -96,7 +116,7 @@ def statistics(text):
 def test_quality_statistics(spark):
     rows = [*TEXTS, (7, "a b c d e f g h a b c d e f g h"), (8, "x " * 9), (9, "x " * 8), (10, "# & | <b>\na\na\n\na b\u00a0c"), (11, " ".join(map(str, range(30))) + " " + " ".join(map(str, range(5, 20))))]
     none = quality_rules.DecisionList([])
-    for r in quality_rules.apply_rules(frame(spark, rows).drop("stats"), none).collect():
+    for r in quality_rules.apply_rules(frame(spark, rows), none).collect():
         want = statistics(r.text)
         assert tuple(r.stats)[:5] == want
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r.kept == (not r.base_failed)
@@ -196,19 +216,32 @@ def test_decontamination(spark):
     item = " ".join(f"q{i}" for i in range(40))
     w = item.split()
     moved = "start " + " ".join(w[20:]) + " between the parts " + " ".join(w[:20]) + " end"
-    docs = frame(spark, [(1, f"before {item} after"), (2, moved), (3, " ".join(w[:12])), (4, None), (5, ""), (6, item.upper().replace(" ", ",\n")), (None, item), (6, item.upper().replace(" ", ",\n")), (7, LONG)])
-    items = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (13, "")], "item_id long, text string")
+    docs = frame(spark, [(1, f"before {item} after"), (2, moved), (3, " ".join(w[:12])), (4, None), (5, ""), (6, item.upper().replace(" ", ",\n")), (None, item), (6, item.upper().replace(" ", ",\n")), (7, LONG), (8, "It is too, short."), (9, "short too"), (9, "too")])
+    # items of fewer tokens than a seed match whole
+    items = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (13, ""), (14, "!?"), (15, "start")], "item_id long, text string")
     got = sorted((r.doc_id or 0, r.item_id, r.coverage, r.n_tiles) for r in decontaminate.find_leaks(docs, items).collect())
-    assert got == [(0, 10, 1.0, 1), (1, 10, 1.0, 1), (2, 10, 1.0, 2), (6, 10, 1.0, 1), (6, 10, 1.0, 1)]
+    assert got == [(0, 10, 1.0, 1), (1, 10, 1.0, 1), (2, 10, 1.0, 2), (2, 15, 1.0, 1), (6, 10, 1.0, 1), (6, 10, 1.0, 1), (8, 11, 1.0, 1)]
     assert decontaminate.find_leaks(docs, items.limit(0)).collect() == [] and decontaminate.find_leaks(empty(spark), items).collect() == []
 
 
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs = frame(spark, [(1, "a b c d e f g h"), (2, "i j k l m n o p")])
-    items = spark.createDataFrame([(1, "a b c d e f"), (2, "i j k l m n"), (3, "z y x w v u")], "item_id long, text string")
+    docs = frame(spark, [(1, "a b c d e f g h"), (2, "i j k l m n o p"), (3, "nothing of that"), (None, "a b c d e f"), (4, "say z y x now"), (1, "a b c d e f g h")])
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "i j k l m n"), (3, "z y x w v u"), (4, "z y x")], "item_id long, text string")
     whole = by_key(decontaminate.find_leaks(docs, items))
     monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 1)
-    assert by_key(decontaminate.find_leaks(docs, items)) == whole and len(whole) == 2
+    assert by_key(decontaminate.find_leaks(docs, items)) == whole and len(whole) == 5
+
+
+def test_repetitive_texts_are_tiled_in_linear_memory():
+    import tracemalloc
+
+    item, doc = np.zeros(4_000, np.uint64), np.zeros(200_000, np.uint64)
+    item[::1000], doc[::777] = 1, 2
+    tracemalloc.start()
+    tiles = decontaminate.greedy_tiles(item, doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, _, n in tiles) == 3_996 and peak < 100e6
 
 
 def test_greedy_tiles_against_brute_force():
@@ -217,8 +250,7 @@ def test_greedy_tiles_against_brute_force():
     r = random.Random(4)
     for _ in range(60):
         a, b = ([r.randint(0, 3) for _ in range(n)] for n in (25, 40))
-        pairs = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]]
-        got = decontaminate.greedy_tiles(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), len(a))
+        got = decontaminate.greedy_tiles(np.array(a, np.uint64), np.array(b, np.uint64))
         used_a, used_b, want = set(), set(), []
         while True:
             best = None
@@ -270,7 +302,10 @@ def test_near_duplicates(spark, k):
 
     r = random.Random(k)
     base = [f"w{i}" for i in range(120)]
-    rows = list(TEXTS)
+    one, two, long = (" ".join(f"{c}{i}" for i in range(50)) for c in "xyz")
+    # keys of several texts, and words longer than what is hashed at once
+    rows = [*TEXTS, (903, one), (905, one), (905, two), (905, ""), (907, two), (908, long), (908, one), (905, two)]
+    rows += [(909, "p q " + "x" * (3 << 20)), (910, "P q " + "x" * (3 << 20)), (911, "p q " + "x" * (3 << 20) + "y")]
     for i in range(60):
         w = base[:]
         for _ in range(r.randint(0, 8)):
@@ -281,6 +316,44 @@ def test_near_duplicates(spark, k):
     assert near_dups.near_duplicates(empty(spark)).collect() == []
 
 
+def test_one_of_each(spark):
+    one, two, near = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60)), " ".join(f"x{i}" for i in range(61))
+    rows = [(3, one), (5, one), (5, two), (None, two), (None, near), (7, near), (7, near), (8, ""), (8, ""), (None, None), (9, "lone"), (9, "lone"), (None, "other text"), (None, "other text")]
+    got = near_dups.one_of_each(frame(spark, rows)).collect()
+    assert got[0].__fields__ == frame(spark).columns
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, one), (5, two), (8, ""), (8, ""), (None, None), (9, "lone"), (None, "other text")], key=str)
+    assert near_dups.one_of_each(empty(spark)).collect() == []
+
+
+def test_words_of_any_length(monkeypatch):
+    import pyarrow as pa
+
+    from gapwright.llm import textkernel
+
+    texts = ["a " + "x" * (5 << 20), "a b " + "x" * ((1 << 20) + 5) + " c", "", "y" * (3 << 20), "x" * (5 << 20) + " a", "é" * 700_000 + "z"]
+    words, off = textkernel.word_hashes(*textkernel.buffers(pa.array(texts)))
+    assert np.diff(off).tolist() == [2, 4, 0, 1, 2, 1] and words[1] == words[off[4]] and words[0] == words[off[4] + 1] and len(set(words.tolist())) == 7
+    small = [t[:3000] for t in texts] + ["one two  three\n"] * 50
+    want = textkernel.word_hashes(*textkernel.buffers(pa.array(small)))
+    for n in (1, 7, 64):
+        monkeypatch.setattr(textkernel, "SEGMENT", n)
+        got = textkernel.word_hashes(*textkernel.buffers(pa.array(small)))
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+@pytest.mark.parametrize("ids", [lambda i: 1, lambda i: i % 2, lambda i: i])
+def test_bounded_samples_of_any_keys(spark, ids):
+    from gapwright.llm.sampling import lowest_hashes
+
+    rows = spark.createDataFrame([(ids(i), f"text {i}") for i in range(500)], "doc_id long, text string")
+    for columns in (("doc_id",), ("doc_id", "text")):
+        for most in (0, 20, 400, 1000):
+            got = lowest_hashes(rows, most, *columns)
+            assert got.count() == min(most, 500)
+    # the bound never shows
+    assert lowest_hashes(rows, 20, "doc_id", "text").collect() == rows.orderBy(near_dups.F.xxhash64("doc_id", "text"), "doc_id", "text").limit(20).collect()
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
