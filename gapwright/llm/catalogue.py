@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.query,
     "op9_near_dups": near_dups.query,
     "op10_url_filter": url_filter.query,
+    "url_rules": url_filter.rules_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": fixity.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": fixity.ORACLE_SQL, "url_rules": url_filter.RULES_SQL}

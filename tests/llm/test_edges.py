@@ -442,6 +442,10 @@ def test_urls(spark):
     model = url_filter.HostModel()
     assert model.segment("cheappills") == ["cheap", "pills"] and model.score("cheap-pills.example.com", "/") > 0 > model.score("dailynews.example.org", "/")
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), model).collect() == []
+    assert url_filter.learn(spark.createDataFrame([], "page_id long, url string, html string")).weight == model.weight
+    # repeated rows and columns with names used inside
+    clash = spark.createDataFrame([(1, "http://a.net/x", "h", "p", "r", "v", "s", "w")] * 2, "page_id long, url string, host string, path string, rule string, ruled string, score string, html string")
+    assert [tuple(r)[:5] for r in url_filter.judge_urls(clash, url_filter.learn(clash)).collect()] == [(1, "a.net", "/x", "net/", "block")] * 2
 
 
 def test_hosts_are_split_by_the_words_of_pages(spark):
@@ -455,6 +459,38 @@ def test_hosts_are_split_by_the_words_of_pages(spark):
     assert query.host_words == "zebra quilts"
 
 
+def test_splits_are_the_cheapest_of_all():
+    import itertools
+    import math
+
+    counted = {"ab": 5, "abc": 3, "c": 2, "bca": 4, "a": 1, "cab": 7, "bb": 2}
+    model = url_filter.HostModel((), counted=counted)
+    n = sum(counted.values())
+    # a stretch of unknown characters costs its length and one more; neighbouring ones are one stretch
+    cost = lambda parts: sum(math.log(n / counted[p]) if p in counted else model.UNKNOWN * (len(p) + 1) for p in parts)
+    for name in map("".join, itertools.product("abcx", repeat=6)):
+        every = [[name[i:j] for i, j in itertools.pairwise((0, *cuts, 6))] for r in range(6) for cuts in itertools.combinations(range(1, 6), r)]
+        assert abs(cost(model.segment(name)) - min(map(cost, every))) < 1e-9
+
+
+def test_verdicts_are_learned_from_ruled_pages(spark):
+    """The weights against a plain count over the rows, a host of very many pages counting once."""
+    import math
+
+    rows = [(i, f"http://{h}/{p}", "red blue shoe shop lamp") for i, (h, p) in enumerate([("redshoe.net", "shop/1"), ("bluelamp.example.net", "en/lamp"), ("redlamp.net", "7"), ("bluelamp.example.net", "en/lamp"), ("blueshoe.org", "fr/x"), ("redshoe.example.org", "other"), ("redshoe.example.net", "en/2")] + [("blueshoe.org", f"fr/{k}") for k in range(50)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = url_filter.learn(pages, labelled=())
+    texts = {"block": [["red", "shoe", "shop"], ["red", "lamp"]], "allow": [["blue", "lamp", "en", "lamp"], ["blue", "shoe", "fr", "x"], ["red", "shoe", "en"]]}
+    count = lambda v, w: sum(t.count(w) for t in texts[v])
+    words = {w for v in texts.values() for t in v for w in t}
+    size = {v: sum(map(len, t)) + 0.5 * (len(words) + 1) for v, t in texts.items()}
+    assert set(model.weight) == words and abs(model.prior - math.log(3 / 4)) < 1e-12
+    for w in words:
+        assert abs(model.weight[w] - math.log((count("block", w) + 0.5) / size["block"] * size["allow"] / (count("allow", w) + 0.5))) < 1e-12
+    verdict = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, model).collect()}
+    assert [verdict[i] for i in range(7)] == ["block", "allow", "block", "allow", "allow", "block", "allow"]
+
+
 FORMATS = [
     ("call (017) 555-7713 now", "phone:5:19"), ("reach 017-555-7713 today", "phone:6:18"), ("pay 4111-1111-1111-1112 soon", "card:4:23"), ("john [at] example [dot] com", "email:0:27"), ("mail jo.b(at)site.org", "email:5:21"),
     ("thing 4716221051885663, next", "card:6:22"), ("on 2024-01-31 12:30", ""), ("order 123456789 done", ""), ("isbn 978-3-16-148410-0", ""), ("num 1234567890 x", ""), ("ids 12 34 56 78 90 12", ""), ("192.168.1.300", ""),

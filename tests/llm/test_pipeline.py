@@ -148,7 +148,7 @@ def test_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == set(map(str, range(1, 11)))
+    assert {m[1] for n in QUERIES if (m := re.match(r"op(\d+)_", n))} == set(map(str, range(1, 11)))
 
 
 def test_held_out_language(spark):
