@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.query,
     "op9_near_dups": near_dups.query,
     "op10_url_filter": url_filter.query,
+    "pii_base": pii.base_query,
     "url_rules": url_filter.rules_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": fixity.ORACLE_SQL, "url_rules": url_filter.RULES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": fixity.ORACLE_SQL, "pii_base": pii.BASE_SQL, "url_rules": url_filter.RULES_SQL}
