@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .skew import small
-from .storage import discard, shared_dir, stored, table
+from .storage import discard, remove, shared_dir, stored, table
 
 #: children of a node as a power of two, and the most records of a last range (but for equal ones)
 FAN_OUT_LOG2, MOST_RECORDS = 6, 4096
@@ -244,7 +244,11 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
     Of equal records those in front are taken to be the intact ones.
     """
-    a, b = entries(ours), entries(theirs)
+    return audit_entries(entries(ours), entries(theirs))
+
+
+def audit_entries(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``audit`` of two tables of ``entries``."""
     found = differences(a, b)
     same = F.struct("key", "digest", "length")
     lost = found.where("lost > 0").select(same.alias("one"), "lost")
@@ -269,11 +273,16 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all pages and a replica with known damage as WARC files, reads both and audits."""
+    """Writes all pages and a replica with known damage as WARC files, reads each and audits. The files go once they are hashed."""
     pages = table(spark, sf_dir, "pages")
-    roots = shared_dir(spark, "warc"), shared_dir(spark, "warc-replica")
-    ours, theirs = (read_warc(write_warc(p, root), root) for p, root in zip((pages, damaged(pages)), roots, strict=True))
-    found = audit(ours, theirs)
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        root = shared_dir(spark, "warc")
+        out = entries(read_warc(write_warc(rows, root), root))
+        remove(spark, root)
+        return out
+
+    found = audit_entries(hashed(pages), hashed(damaged(pages)))
     return found.select(F.col("key").alias("page_id"), F.col("ordinal").alias("record_no"), F.col("offset").alias("warc_offset"), F.col("length").alias("record_bytes"), F.col("digest").alias("record_sha256"), "intact", "side")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import discard, shared_dir, stored
+from ..storage import discard, remove, shared_dir, stored
 
-__all__ = ["discard", "shared_dir", "stored", "table"]
+__all__ = ["discard", "remove", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
