@@ -33,7 +33,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import let
-from .sampling import lowest_hashes
 from .storage import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -62,8 +61,8 @@ CONTEXT = 24
 CUES = {"phone_cue": "tel|phone|call|mobile|fax|cell|whatsapp", "card_cue": "card|visa|master|credit|debit|amex|pay", "code_cue": "order|isbn|invoice|ref|serial|version|sku|ticket|part|build|timestamp|total"}
 FEATURES = ("for_card", "for_phone", "for_email", "for_ip", "n_digits", "n_marks", "n_dots", "plus", "paren", "luhn", "left_joined", "right_joined", "fours", "spelled", "octets", "date", "phone_form", "local_form", "more_left", "more_right", *CUES)
 MAX_EXAMPLES, ROUNDS, RATE, TARGET_PRECISION = 6_000, 60, 0.3, 0.998
-#: texts from which base spans are learned, and base spans of a kind, at most; the lowest hashes
-MAX_TEXTS, MAX_SPANS = 4_000, 400
+#: texts in which base spans to learn from are looked for, about, and base spans of a kind, at most
+MAX_TEXTS, MAX_SPANS = 20_000, 400
 #: candidates for secrets, their cues, and their features
 SECRET, SECRET_CUE = r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+", r"(token|secret|passw(or)?d|pwd|api.?key|access.?key|private.?key|credential|bearer|auth)\W{0,6}$"
 SECRET_FEATURES = ("length", "n_digits", "n_upper", "n_lower", "n_marks", "hex", "changes", "quoted", "cue", "prefix", "path")
@@ -318,15 +317,18 @@ class Seen:
 
 
 def seen_spans(docs: DataFrame, text: str = "text") -> list[Seen]:
-    """At most MAX_SPANS base spans of each kind from at most MAX_TEXTS texts with something like one."""
-    some = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("|".join(NEEDS.values())))
-    chosen = stored(lowest_hashes(some, MAX_TEXTS, "text"), "pii-texts")
-    out = []
-    for kind in KINDS:
-        good = F.filter(found(F.col("text"), BASE[kind], NEEDS[kind]), lambda m: valid(kind, m["value"]) & (F.length(m["value"]) <= 80))  # noqa: B023
-        spans = chosen.select(F.explode(good).alias("m")).select("m.value", "m.left", "m.right").distinct()
-        out += [Seen(kind, *r) for r in spans.orderBy(F.xxhash64("value", "left", "right"), "value", "left", "right").limit(MAX_SPANS).collect()]
-    return out
+    """At most MAX_SPANS distinct base spans of each kind, from some MAX_TEXTS texts: those with hashes below a bound."""
+    n = max(1, docs.count())
+    h = F.xxhash64(text)
+    some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & (h <= min(2**63 - 1, -(2**63) + 2**64 * MAX_TEXTS // n)))
+
+    def of(kind: str) -> Column:
+        good = F.filter(found(F.col("text"), BASE[kind], NEEDS[kind]), lambda m: valid(kind, m["value"]) & (F.length(m["value"]) <= 80))
+        return F.transform(good, lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right")))
+
+    spans = stored(some.select(F.explode(F.concat(*map(of, KINDS))).alias("m")).select("m.*").distinct(), "pii-spans")
+    lowest = lambda kind: spans.where(F.col("kind") == kind).orderBy(F.xxhash64("value", "left", "right"), "value", "left", "right").limit(MAX_SPANS).collect()
+    return [Seen(*r) for kind in KINDS for r in lowest(kind)]
 
 
 def rewritten(kind: str, value: str, r: random.Random) -> tuple[str, str]:
