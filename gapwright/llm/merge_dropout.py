@@ -98,10 +98,11 @@ class Segmenter:
                 out.extend(self.byte[b] for b in s.replace(OWN_MARK, MARK).encode())
         return out.tobytes()
 
-    def keys(self, variant: int, first: int, n: int) -> np.ndarray:
-        """32-bit keys of ``n`` occurrences in the text of this variant."""
-        base = _mix(np.array([variant & _ALL ^ self.seed * _GOLDEN & _ALL], np.uint64))
-        return (_mix(base + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(_GOLDEN)) >> np.uint64(32)).astype(np.uint32)
+    def keys(self, variants: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """32-bit keys of runs of occurrences: ``sizes`` words from number ``first`` on in the text of each variant."""
+        base = _mix(variants.view(np.uint64) ^ np.uint64(self.seed * _GOLDEN & _ALL))
+        number = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+        return (_mix(np.repeat(base, sizes) + number.astype(np.uint64) * np.uint64(_GOLDEN)) >> np.uint64(32)).astype(np.uint32)
 
     def _skips(self, key: int, place: int, merged: str) -> bool:
         """The keyed hash of a candidate against the rate; ``place`` is where its left piece begins."""
@@ -167,22 +168,46 @@ class Segmenter:
                 heappush(agenda, (r, k, i, len(sym[k]) + len(a)))
         return [s for s in sym if s]
 
-    def encode(self, text: str, variant: int = 0) -> array:
-        if not text:
-            return array(self.code)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            chunks = [m[0] if m[1] is None else m[1] for m in _CHUNKS(" " + text)]
-        else:
-            chunks = text.replace("\n", " \n").split(" ")
-        out = array(self.code)
-        for first in range(0, len(chunks), BLOCK):
-            block = chunks[first : first + BLOCK]
-            out.frombytes(self._draw(block, self.keys(variant, first, len(block))))
-        return out
+    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+        return self.encode_many([text], [variant])[0]
+
+    def encode_many(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+        """Ids of each text; words of several texts are drawn together."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        chunks, runs, room = [], [], BLOCK
+
+        def draw() -> None:
+            which, first, size = (np.array(x, np.int64) for x in zip(*runs, strict=True))
+            own = np.array([variants[i] for i in which], np.int64)
+            ids, count = self._draw(chunks, self.keys(own, first, size))
+            ends = np.cumsum(count)[np.cumsum(size) - 1]
+            for i, a, b in zip(which.tolist(), (0, *ends[:-1].tolist()), ends.tolist(), strict=True):
+                parts[i].append(ids[a:b])
 
-    def _draw(self, chunks: list[str], keys: np.ndarray) -> bytes:
-        """Ids of words, each by its key. The first candidate skipped leads to the agenda after that skip, which is tried in turn."""
-        if len(self.words.ids) > AGENDAS:
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if "  " in text or text[0] == " " or text[-1] == " ":
+                words = [m[0] if m[1] is None else m[1] for m in _CHUNKS(" " + text)]
+            else:
+                words = text.replace("\n", " \n").split(" ")
+            at = 0
+            while at < len(words):
+                n = min(room, len(words) - at)
+                chunks += words[at : at + n]
+                runs.append((i, at, n))
+                at, room = at + n, room - n
+                if not room:
+                    draw()
+                    chunks, runs, room = [], [], BLOCK
+        if runs:
+            draw()
+        none = np.zeros(0, self.code)
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else none for p in parts]
+
+    def _draw(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each by its key, and how many of each. The first candidate skipped leads to the agenda after that skip, which is tried in turn."""
+        if len(self.words.skipped) > AGENDAS:
             self.words = _Words(self)
         words = self.words
         at = np.fromiter(map(words.__getitem__, chunks), np.int64, len(chunks))
@@ -190,15 +215,21 @@ class Segmenter:
         while len(left):
             which, number = words.first_skips(at[left], keys[left], self.threshold)
             left = left[which]
-            at[left] = [words.after(a, n, chunks[i]) for a, n, i in zip(at[left].tolist(), number.tolist(), left.tolist(), strict=True)]
-        parts = [words.ids[a] for a in at.tolist()]
-        for i in np.flatnonzero(at == 0).tolist():
-            parts[i] = self.segment(chunks[i], int(keys[i]))
-        return b"".join(parts)
+            at[left] = words.after(at[left], number, chunks, left)
+        ids, count = words.written(at)
+        long = np.flatnonzero(at == 0).tolist()
+        if not long:
+            return ids, count
+        # words that aren't remembered stand between the others
+        own = [np.frombuffer(self.segment(chunks[i], int(keys[i])), self.code) for i in long]
+        places = np.cumsum(count)[long].tolist()
+        pieces = [x for a, b, o in zip((0, *places[:-1]), places, own, strict=True) for x in (ids[a:b], o)]
+        count[long] = [len(o) for o in own]
+        return np.concatenate([*pieces, ids[places[-1] :]]), count
 
     def decode(self, ids) -> str:
         """The text; the space that encoding puts in front is taken off."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
+        return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode()[1:]
 
 
 _ALL, _GOLDEN = 2**64 - 1, 0x9E3779B97F4A7C15
@@ -215,47 +246,67 @@ class _Words(dict):
 
     def __init__(self, segmenter: Segmenter):
         self.segmenter = segmenter
-        self.stops = {c: array(segmenter.code, [segmenter.id[c]]).tobytes() for c in ".," if c in segmenter.id}
-        #: by agenda: ids if nothing more is skipped, numbers of the skips before, place and count of its candidates
-        self.ids, self.skipped, self.start, self.count = [b""], [()], array("q", [0]), array("q", [0])
-        self.candidates = array("I", [0])
-        self.next: dict[int, int] = {}
+        self.stops = {c: segmenter.id[c] for c in ".," if c in segmenter.id}
+        #: by agenda: numbers of the skips before; where its candidates, its ids if nothing more is skipped and its ways on begin; counts of candidates and ids
+        self.skipped: list[tuple[int, ...]] = [()]
+        self.start, self.count, self.id_start, self.id_count, self.way = (array("q", [0]) for _ in range(5))
+        self.candidates, self.ids = array("I"), array(segmenter.code)
+        #: the agenda after each candidate is skipped, or -1
+        self.ways = array("q")
 
     def __missing__(self, chunk: str) -> int:
         s = self.segmenter
         if s.stops_apart and chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and (base := self[chunk[:-1]]):
-            number = self._add(self.ids[base] + self.stops[chunk[-1]], (), self.start[base], self.count[base])
+            first = self.id_start[base]
+            number = self._add([*self.ids[first : first + self.id_count[base]], self.stops[chunk[-1]]], (), self.start[base], self.count[base])
         else:
             number = self._agenda(chunk, ()) if len(chunk) < SHORT else 0
         self[chunk] = number
         return number
 
-    def _add(self, ids: bytes, skipped: tuple[int, ...], start: int, count: int) -> int:
-        self.ids.append(ids)
+    def _add(self, ids, skipped: tuple[int, ...], start: int, count: int) -> int:
+        self.id_start.append(len(self.ids))
+        self.id_count.append(len(ids))
+        self.ids.extend(ids)
+        self.way.append(len(self.ways))
+        self.ways.extend([-1] * count)
         self.skipped.append(skipped)
         self.start.append(start)
         self.count.append(count)
-        return len(self.ids) - 1
+        return len(self.skipped) - 1
 
     def _agenda(self, chunk: str, skipped: tuple[int, ...]) -> int:
         tried: list[int] = []
-        ids = self.segmenter.coded(self.segmenter._merge_short(self.segmenter.symbols(chunk), 0, skipped, tried))
+        ids = array(self.segmenter.code, self.segmenter.coded(self.segmenter._merge_short(self.segmenter.symbols(chunk), 0, skipped, tried)))
         start, rest = len(self.candidates), tried[skipped[-1] + 1 :] if skipped else tried
         self.candidates.extend(rest)
         return self._add(ids, skipped, start, len(rest))
 
-    def after(self, agenda: int, number: int, chunk: str) -> int:
-        """The agenda of the same word once candidate ``number`` of this one is skipped."""
-        # a word of SHORT characters has fewer than 3 * SHORT candidates
-        way = agenda * 3 * SHORT + number
-        if (found := self.next.get(way)) is None:
-            before = self.skipped[agenda]
-            found = self.next[way] = self._agenda(chunk, (*before, (before[-1] + 1 if before else 0) + number))
-        return found
+    def after(self, agendas: np.ndarray, numbers: np.ndarray, chunks: list[str], which: np.ndarray) -> np.ndarray:
+        """The agendas of the same words once these candidates are skipped."""
+        ways = np.frombuffer(self.way, np.int64)[agendas] + numbers
+        out = np.frombuffer(self.ways, np.int64)[ways] if len(ways) else ways
+        for i in np.flatnonzero(out < 0).tolist():
+            way = int(ways[i])
+            if self.ways[way] < 0:
+                before = self.skipped[agendas[i]]
+                self.ways[way] = self._agenda(chunks[which[i]], (*before, (before[-1] + 1 if before else 0) + int(numbers[i])))
+            out[i] = self.ways[way]
+        return out
+
+    def written(self, agendas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of agendas, one after the other, and how many of each."""
+        count = np.frombuffer(self.id_count, np.int64)[agendas]
+        first = np.frombuffer(self.id_start, np.int64)[agendas] - (np.cumsum(count) - count)
+        if not len(self.ids):
+            return np.zeros(0, self.segmenter.code), count
+        return np.frombuffer(self.ids, self.segmenter.code)[np.repeat(first, count) + np.arange(count.sum())], count
 
     def first_skips(self, agendas: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         """Those of the occurrences that skip a candidate, ascending, and the number of the first."""
         count = np.frombuffer(self.count, np.int64)[agendas]
+        if not count.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         who = np.repeat(np.arange(len(agendas)), count)
         number = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
         h = keys[who] ^ np.frombuffer(self.candidates, np.uint32)[np.frombuffer(self.start, np.int64)[agendas][who] + number]
@@ -276,9 +327,9 @@ def encode_texts(docs: DataFrame, model_file: str, rate: float = RATE, seed: int
         segmenter = Segmenter.shared(model_file, rate, seed)
         for batch in batches:
             size, crc, same, every = [], [], [], []
-            for text, variant in zip(batch.column("text").to_pylist(), batch.column("variant").to_pylist(), strict=True):
-                own = segmenter.encode(text, variant)
-                wide = np.frombuffer(own, own.typecode).astype("<u4")
+            texts = batch.column("text").to_pylist()
+            for text, own in zip(texts, segmenter.encode_many(texts, batch.column("variant").to_pylist()), strict=True):
+                wide = own.astype("<u4")
                 size.append(len(own))
                 crc.append(zlib.crc32(wide))
                 same.append(segmenter.decode(own) == text)

@@ -225,6 +225,40 @@ def test_agenda_forms_agree():
         assert s._merge_short(pieces[:], 77) == s._merge_long(pieces[:], 77)
 
 
+def brute_dropout(s, chunk, key):
+    """Merge-dropout as its docstring says, by a plain search for the best candidate each time."""
+    pieces = [(i, c) for i, c in enumerate(s.symbols(chunk))]
+    skipped = set()
+    while True:
+        found = [(s.rank[a + b], i, a + b) for (i, a), (_, b) in zip(pieces, pieces[1:], strict=False) if a + b in s.rank and (i, len(a), a + b) not in skipped]
+        if not found:
+            return [s.id[p] if p in s.id else b for _, p in pieces for b in ([0] if p in s.id else [s.byte[x] for x in p.replace(merge_dropout.OWN_MARK, merge_dropout.MARK).encode()])]
+        _, i, merged = min(found)
+        at = [p[0] for p in pieces].index(i)
+        h = (key ^ (i * 0x9E3779B1 + s.salt[merged])) & 0xFFFFFFFF
+        if ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF < s.threshold:
+            skipped.add((i, len(pieces[at][1]), merged))
+        else:
+            pieces[at : at + 2] = [(i, merged)]
+
+
+def test_dropout_against_brute_force(spark):
+    from gapwright.llm.storage import table
+
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").where("text IS NOT NULL").orderBy("doc_id").limit(12).collect()]
+    texts += ["segmentation of x" + "yz" * 40 + " ends", "  two  spaces ", "é ▁ own\n\nmark", ""]
+    s = merge_dropout.Segmenter(PIECES, 0.2, 9)
+    variants = [7 * i - 20 for i in range(len(texts))]
+    for text, variant, got in zip(texts, variants, s.encode_many(texts, variants), strict=True):
+        text = text[:1500]
+        got = s.encode(text, variant)
+        chunks = [m[0] if m[1] is None else m[1] for m in merge_dropout._CHUNKS(" " + text)] if text else []
+        keys = s.keys(np.array([variant]), np.array([0]), np.array([len(chunks)])).tolist() if chunks else []
+        assert got.tolist() == [x for c, k in zip(chunks, keys, strict=True) for x in brute_dropout(s, c, k)]
+        assert s.decode(got) == text
+    assert [x.tolist() for x in s.encode_many(texts, variants)] == [s.encode(t, v).tolist() for t, v in zip(texts, variants, strict=True)]
+
+
 def test_each_occurrence_is_drawn_anew(monkeypatch):
     s = merge_dropout.Segmenter(PIECES, 0.3, 5)
     ids = lambda data: list(np.frombuffer(data, s.code))
@@ -233,7 +267,7 @@ def test_each_occurrence_is_drawn_anew(monkeypatch):
         monkeypatch.setattr(merge_dropout, "AGENDAS", agendas)
         monkeypatch.setattr(merge_dropout, "BLOCK", 700)
         for variant in (0, -(2**63), 12345):
-            each = [s.segment(w, int(s.keys(variant, i, 1)[0])) for i, w in enumerate(words)]
+            each = [s.segment(w, int(s.keys(np.array([variant]), np.array([i]), np.array([1]))[0])) for i, w in enumerate(words)]
             assert list(s.encode(" ".join(words), variant)) == ids(b"".join(each))
     assert len(set(each[::6])) > 20
     assert len({tuple(s.encode("segmentation", v)) for v in range(200)}) > 20
