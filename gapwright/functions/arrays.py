@@ -14,6 +14,35 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(ZERO), lambda s, x: s + x)
 
 
+#: elements whose running sums are taken in one go; sums cost some CHUNK steps an element
+CHUNK = 64
+
+
+def prefix(a: Column) -> Column:
+    """The sums of the elements before each place, and of all: one more than ``a`` has.
+
+    Sums grow by chunks, so that an array isn't copied once for each of its elements.
+    """
+    kind = "struct<at:double,out:array<double>>"
+    zero = F.struct(F.lit(ZERO).alias("at"), F.array().cast("array<double>").alias("out"))
+    add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(kind)
+
+    def of(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / CHUNK).cast("int"), F.lit(1)) - 1), lambda k: F.aggregate(F.slice(v, k * CHUNK + 1, CHUNK), zero, add))
+        return let(chunks, joined)
+
+    def joined(parts: Column) -> Column:
+        whole = F.aggregate(parts, zero, lambda acc, p: add(acc, p["at"]))
+        return let(whole, lambda b: F.concat(F.flatten(F.zip_with(parts, b["out"], lambda p, x: F.transform(p["out"], lambda y: x + y))), F.array(b["at"])))
+
+    return let(a, of)
+
+
+def window_sum(sums: Column, first: Column, last: Column) -> Column:
+    """The sum of the elements ``first`` to ``last`` (inclusive), from their :func:`prefix`."""
+    return F.get(sums, (last + 1).cast("int")) - F.get(sums, first.cast("int"))
+
+
 def mean(a: Column) -> Column:
     return total(a) / F.greatest(F.size(a), F.lit(1))
 
@@ -93,10 +122,8 @@ def trend(z: Column, period: Column) -> Column:
     """Centred moving average over one period (half weights at both ends of an even one), extended by lines fitted to its first and last period."""
     n, h = F.size(z).cast("bigint"), F.floor(period / 2).cast("bigint")
     even = period % 2 == 0
-    inner = F.transform(
-        F.sequence(h, n - 1 - h),
-        lambda t: (total(cut(z, t - h, t + h)) - F.when(even, 0.5 * (F.get(z, (t - h).cast("int")) + F.get(z, (t + h).cast("int")))).otherwise(0.0)) / period,
-    )
+    ends = lambda t: F.when(even, 0.5 * (F.get(z, (t - h).cast("int")) + F.get(z, (t + h).cast("int")))).otherwise(0.0)
+    inner = let(prefix(z), lambda sums: F.transform(F.sequence(h, n - 1 - h), lambda t: (window_sum(sums, t - h, t + h) - ends(t)) / period))
 
     def extended(y: Column) -> Column:
         # the last point of the average takes no part in either fit
@@ -118,7 +145,10 @@ def seasonal(z: Column, period: Column) -> Column:
     """Mean-centred phase means of ``z`` less its trend, one value a phase."""
 
     def of(rest: Column) -> Column:
-        phase = F.transform(indices(period), lambda j: mean(F.filter(rest, lambda x, i: i % period == j)))
+        last, step = F.size(rest).cast("bigint") - 1, period.cast("bigint")
+        # each point is met once, by its own phase
+        sum_of = lambda j: F.aggregate(F.sequence(j, last, step), F.lit(ZERO), lambda s, i: s + F.get(rest, i.cast("int")))
+        phase = F.transform(indices(period), lambda j: sum_of(j) / (F.floor((last - j) / step) + 1))
         return let(phase, lambda a: let(mean(a), lambda m: F.transform(a, lambda x: x - m)))
 
     return let(trend(z, period), lambda tr: let(F.zip_with(z, tr, lambda a, b: a - b), of))
@@ -142,13 +172,24 @@ def project_period(period: Column, source: Column, target: Column) -> Column:
 def local_z(a: Column, window: int = 25) -> Column:
     """Each value against the mean and deviation of its neighbours, ``max(window / 2, 1)`` on either side, fewer at the ends."""
     half = max(window // 2, 1)
-    n = F.size(a)
 
-    def of(x: Column, t: Column) -> Column:
-        near = cut(a, F.greatest(t - half, F.lit(0)), F.least(t + half, n - 1))
-        return let(near, lambda w: let(mean(w), lambda m: (x - m) / (F.sqrt(mean(F.transform(w, lambda v: (v - m) * (v - m)))) + EPS)))
+    def of(v: Column, centre: Column) -> Column:
+        # sums of squares lose least about the mean
+        c = F.transform(v, lambda x: x - centre)
+        return let(c, lambda x: let_all((x, prefix(x), prefix(F.transform(x, lambda y: y * y))), scored))
+
+    def scored(x: Column, sums: Column, squares: Column) -> Column:
+        n = F.size(x)
+
+        def one(y: Column, t: Column) -> Column:
+            first, last = F.greatest(t - half, F.lit(0)), F.least(t + half, n - 1)
+            k = last - first + 1
+            m = window_sum(sums, first, last) / k
+            return let(m, lambda m: (y - m) / (F.sqrt(F.greatest(window_sum(squares, first, last) / k - m * m, F.lit(ZERO))) + EPS))
+
+        return F.transform(x, one)
 
-    return F.transform(a, of)
+    return let_all((a, mean(a)), of)
 
 
 def temporal_features(a: Column, window: int = 25) -> Column:
