@@ -216,11 +216,12 @@ EVENTS = """SELECT sample_id, count(hit) AS tp, count(*) FILTER (WHERE k >= 0 AN
 LOSS = """SELECT {k} avg({pb}) AS point, avg({sb}) + avg({eb}) AS seg_boundary, sum(tv) / greatest(count(tv), 1) AS tv FROM bt {j} {g}""".replace("{pb}", _bce("pl", "mask")).replace("{sb}", _bce("sl", "st")).replace("{eb}", _bce("el", "et"))
 HEADS = "SELECT {k} avg(ce) AS type, avg(cl) AS evidence_conf, avg(al) AS evidence_attr FROM hl {j} {g}"
 ENDS = "SELECT {k} avg(abs(a - s) + abs(b - e)) AS seg_interval FROM gi {j} {g}"
-BC = """SELECT avg(bm) AS bc_mask, coalesce(avg(bn), 0) AS bc_int FROM (
+BC = """SELECT {k} avg(bm) AS bc_mask, coalesce(avg(bn), 0) AS bc_int FROM (
   SELECT ids.sample_id, bm, coalesce(pd, gs) AS bn FROM ids
   JOIN (SELECT sc.sample_id, avg(abs(sc.pp - wb.pp)) AS bm FROM sc JOIN wb USING (sample_id, t) GROUP BY 1) m USING (sample_id)
   LEFT JOIN (SELECT mp.sample_id, sum(abs(og.a - wp.a) + abs(og.b - wp.b)) AS pd FROM mp JOIN og ON og.sample_id = mp.sample_id AND og.k = mp.origin JOIN wp ON wp.sample_id = mp.sample_id AND wp.k = mp.warped GROUP BY 1) p USING (sample_id)
-  LEFT JOIN (SELECT sample_id, sum(term) AS gs FROM ga GROUP BY 1) g USING (sample_id))"""
+  LEFT JOIN (SELECT sample_id, sum(term) AS gs FROM ga GROUP BY 1) g USING (sample_id)) {j} {g}"""
+_sum = lambda *terms: " + ".join(f"coalesce({t}, 0)" for t in terms)
 _toy_clean = "sin(2.0::DOUBLE * pi() * t / 48.0::DOUBLE) + 0.002::DOUBLE * t"
 _hidden = "(SELECT label::BIGINT AS sample_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, count(*) OVER (PARTITION BY label) AS n, embedding FROM embeddings)"
 _dim = "(SELECT sample_id, t, n, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM " + _hidden + ")"
@@ -277,26 +278,30 @@ FINAL: dict[str, str] = {
     "interval_iou": f"SELECT og.sample_id, {_r('og.a', 'start')}, {_r(_iou('og.a', 'og.b', 'wp.a', 'wp.b'), 'iou')}, {_r('abs((og.a + og.b) / 2 - (wp.a + wp.b) / 2)', 'gap')} FROM og JOIN wp USING (sample_id, k)",
     "match_pairs": "SELECT sample_id, origin, warped FROM mp",
     "gt_anchored": f"SELECT sample_id, k, {_r('term', 'term')} FROM ga",
-    "boundary_consistency": f"SELECT {_r('bc_mask + bc_int', 'bc')}, {_r('bc_mask', 'bc_mask')}, {_r('bc_int', 'bc_int')} FROM ({BC})",
+    "boundary_consistency": f"SELECT {_r('bc_mask + bc_int', 'bc')}, {_r('bc_mask', 'bc_mask')}, {_r('bc_int', 'bc_int')} FROM ({BC.format(k='', j='', g='')})",
     "type_ce": f"SELECT {_r('avg(ce)', 'loss')} FROM hl",
     "evidence_reg": f"SELECT {_r('avg(cl) + avg(al)', 'evidence')}, {_r('avg(cl)', 'evidence_conf')}, {_r('avg(al)', 'evidence_attr')} FROM hl",
     "cross_modal_mse": f"SELECT {_r('avg(mse)', 'loss')} FROM em",
     "temporal_tv": f"SELECT {_r('sum(tv) / greatest(count(tv), 1)', 'loss')} FROM bt",
     "total_loss": f"""SELECT {_r("point + seg_boundary + seg_interval + type + 0.5 * (evidence_conf + evidence_attr) + bc_mask + bc_int + 0.2 * cons + 0.05 * tv", "loss")}, {_r("point", "point")}, {_r("seg_boundary + seg_interval", "seg")}, {_r("seg_boundary", "seg_boundary")},
       {_r("seg_interval", "seg_interval")}, {_r("type", "type")}, {_r("evidence_conf + evidence_attr", "evidence")}, {_r("evidence_conf", "evidence_conf")}, {_r("evidence_attr", "evidence_attr")}, {_r("bc_mask + bc_int", "bc")}, {_r("bc_mask", "bc_mask")}, {_r("bc_int", "bc_int")}, {_r("cons", "cons")}, {_r("tv", "tv")}
-      FROM ({LOSS.format(k="", j="", g="")}), ({HEADS.format(k="", j="", g="")}), ({ENDS.format(k="", j="", g="")}), ({BC}), (SELECT avg(mse) AS cons FROM em)""",
+      FROM ({LOSS.format(k="", j="", g="")}), ({HEADS.format(k="", j="", g="")}), ({ENDS.format(k="", j="", g="")}), ({BC.format(k="", j="", g="")}), (SELECT avg(mse) AS cons FROM em)""",
     "point_f1": f"SELECT {_r(_point[0], 'precision')}, {_r(_point[1], 'recall')}, {_r(_point[2], 'f1')} FROM sc",
     "segment_iou": f"SELECT a.sample_id, a.k, b.k AS g, {_r(_seg_iou('a.s', 'a.e', 'b.s', 'b.e'), 'iou')} FROM pr a JOIN gt b ON a.sample_id = b.sample_id AND a.s <= b.e AND b.s <= a.e",
     "event_f1": f"SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, {_r(_event[0], 'precision')}, {_r(_event[1], 'recall')}, {_r(_event[2], 'f1')} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({EVENTS}))",
-    "validate_batches": f"""SELECT count(*) AS steps, {', '.join(_r(f"avg(coalesce({c}, 0))", c) for c in ("point_precision", "point_recall", "point_f1", "event_precision", "event_recall", "event_f1", "point", "seg_boundary", "seg_interval", "type", "evidence_conf", "evidence_attr", "tv"))} FROM (
+    "validate_batches": f"""SELECT count(*) AS steps, {', '.join(_r(f"avg(coalesce({c}, 0))", c) for c in ("point_precision", "point_recall", "point_f1", "event_precision", "event_recall", "event_f1", "point", "seg_boundary", "seg_interval", "type", "evidence_conf", "evidence_attr", "bc_mask", "bc_int", "cons", "tv"))},
+      {', '.join(_r(f"avg({e})", c) for c, e in {"seg": _sum("seg_boundary", "seg_interval"), "evidence": _sum("evidence_conf", "evidence_attr"), "bc": _sum("bc_mask", "bc_int"), "loss": _sum("point", "seg_boundary", "seg_interval", "type", "0.5 * evidence_conf", "0.5 * evidence_attr", "bc_mask", "bc_int", "0.2 * cons", "0.05 * tv")}.items())} FROM (
       SELECT batch_id, {_point[0]} AS point_precision, {_point[1]} AS point_recall, {_point[2]} AS point_f1 FROM sc JOIN bi USING (sample_id) GROUP BY 1) JOIN (
       SELECT batch_id, {_event[0]} AS event_precision, {_event[1]} AS event_recall, {_event[2]} AS event_f1 FROM (SELECT batch_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({EVENTS}) JOIN bi USING (sample_id) GROUP BY 1)) USING (batch_id)
-      JOIN ({LOSS.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id) LEFT JOIN ({HEADS.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id) LEFT JOIN ({ENDS.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id)""",
+      JOIN ({LOSS.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id) LEFT JOIN ({HEADS.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id) LEFT JOIN ({ENDS.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id)
+      LEFT JOIN ({BC.format(k="batch_id,", j="JOIN bi USING (sample_id)", g="GROUP BY 1")}) USING (batch_id) LEFT JOIN (SELECT batch_id, avg(mse) AS cons FROM em JOIN bi USING (sample_id) GROUP BY 1) USING (batch_id)""",
     "evidence_records": f"SELECT sample_id, k, s AS start, e AS \"end\", type, CASE type WHEN 0 THEN 'point' WHEN 1 THEN 'freq' WHEN 2 THEN 'trend' WHEN 3 THEN 'range' ELSE type::VARCHAR END AS type_name, length, {_r('confidence', 'confidence')}, {_r('peak_amplitude', 'peak_amplitude')}, {_r('mean_deviation', 'mean_deviation')} FROM ev",
     "continuity": f"SELECT sample_id, {_r('continuity_degree', 'continuity_degree')}, {_r('fragmentation_degree', 'fragmentation_degree')} FROM sm",
     "type_distribution": f"SELECT sample_id, {', '.join(f'count_{t}' for t in TYPES)}, {', '.join(_r(f'ratio_{t}', f'ratio_{t}') for t in TYPES)} FROM sm",
     "embedding_divergence": f"SELECT sample_id, {_r('mse', 'divergence')} FROM em",
     "summary_q": f"""SELECT sample_id, {', '.join(_r(f"{c}::DOUBLE", f"q_{c}") for c in ("anomaly_count", "average_segment_length", *(f"ratio_{t}" for t in TYPES), "continuity_degree", "fragmentation_degree", "max_confidence", "text_image_divergence"))} FROM sm""",
+    "package_evidence": f"SELECT sample_id::VARCHAR AS id, 10::BIGINT AS n_q, (row_number() OVER (PARTITION BY sample_id ORDER BY s, e) - 1)::BIGINT AS k, s::BIGINT AS start, e::BIGINT AS \"end\", type::BIGINT AS type, CASE type WHEN 0 THEN 'point' WHEN 1 THEN 'freq' WHEN 2 THEN 'trend' WHEN 3 THEN 'range' ELSE type::VARCHAR END AS type_name, length::BIGINT AS length, {_r('confidence', 'confidence')}, {_r('peak_amplitude', 'peak_amplitude')}, {_r('mean_deviation', 'mean_deviation')} FROM ev",
+    "package_summary": f"SELECT sample_id::VARCHAR AS id, anomaly_count::BIGINT AS n_evidence, anomaly_count::BIGINT AS anomaly_count, {', '.join(f'count_{t}::BIGINT AS count_{t}' for t in TYPES)}, {', '.join(_r(f'{c}::DOUBLE', f'q_{c}') for c in ('anomaly_count', 'average_segment_length', *(f'ratio_{t}' for t in TYPES), 'continuity_degree', 'fragmentation_degree', 'max_confidence', 'text_image_divergence'))} FROM sm",
     "best_epoch": f"SELECT epoch, {_r('val_event_f1', 'val_event_f1')}, (SELECT bool_or(abs(train_bc) > 1e-12) FROM ep) AS include_bc FROM ep ORDER BY val_event_f1 DESC, epoch LIMIT 1",
     "lr_schedule": "SELECT epoch, round(1e-5 + (3e-4 - 1e-5) * (1 + cos(pi() * epoch / 200)) / 2, 12) AS lr FROM ep",
     "epoch_merge": f"SELECT epoch, {_r('train_bc', 'train_bc')}, {_r('val_event_f1', 'val_event_f1')} FROM ep",

@@ -15,6 +15,7 @@ from ..operators import decode, evidence, history, losses, metrics, scaling, seg
 from ..operators.preprocess import augmented, augmented_features, preprocess
 from ..sources import generator, paths
 from ..sources.testdata import embedding_pairs, hidden_states, points, samples, table
+from ..storage import stored
 
 BATCH = 8
 SPLITS = ("train", "val", "test")
@@ -324,36 +325,36 @@ def segment_interval_loss(spark, sf_dir):
     return s.select(F.explode(terms).alias("x")).agg(C.r6(F.coalesce(F.avg("x"), F.lit(0.0))).alias("loss"))
 
 
-def _augmented_scores(spark, sf_dir) -> DataFrame:
+def _augmented_scores(s: DataFrame) -> DataFrame:
     """Scored samples with the scores of their augmented branch, on the original's scale: aug_pp, aug_sp, aug_ep."""
-    a = augmented(scored(spark, sf_dir))
+    a = augmented(s)
     v = F.col("aug_series")
     z = A.standardize(v, F.col("mean"), F.col("sd"))
     step = lambda o: C.let_all((v, F.col("sd")), lambda b, d: F.transform(b, lambda x, t: C.sigmoid(1.5 * (x - F.coalesce(F.get(b, t + o), x)) / (d + C.EPS))))
     return a.withColumns({"aug_pp": F.transform(z, lambda x: C.sigmoid(2.0 * x - 1.0)), "aug_sp": step(-1), "aug_ep": step(1)})
 
 
-def _paired(spark, sf_dir) -> DataFrame:
+def _paired(s: DataFrame) -> DataFrame:
     """Predicted intervals of both branches on the source axis: origin, warped."""
-    a = _augmented_scores(spark, sf_dir)
+    a = _augmented_scores(s)
     a = a.withColumn("origin", decode.predicted_intervals(F.col("pp"), F.col("sp"), F.col("ep")))
     aug = decode.predicted_intervals(F.col("aug_pp"), F.col("aug_sp"), F.col("aug_ep"))
     return a.withColumn("warped", losses.intervals_to_source(aug, F.col("transform.target_length"), F.col("transform.source_length")))
 
 
 def interval_map(spark, sf_dir):
-    w = segments.exploded(_paired(spark, sf_dir).select("sample_id", F.col("warped").alias("segments")))
+    w = segments.exploded(_paired(scored(spark, sf_dir)).select("sample_id", F.col("warped").alias("segments")))
     return w.select("sample_id", "k", C.r6(F.col("start")).alias("start"), C.r6(F.col("end")).alias("end"))
 
 
 def interval_iou(spark, sf_dir):
-    p = _paired(spark, sf_dir).select("sample_id", F.explode(F.zip_with(F.slice("origin", 1, F.least(F.size("origin"), F.size("warped"))), F.slice("warped", 1, F.least(F.size("origin"), F.size("warped"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x"))
+    p = _paired(scored(spark, sf_dir)).select("sample_id", F.explode(F.zip_with(F.slice("origin", 1, F.least(F.size("origin"), F.size("warped"))), F.slice("warped", 1, F.least(F.size("origin"), F.size("warped"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x"))
     ends = [F.col(f"x.{c}") for c in ("a.start", "a.end", "b.start", "b.end")]
     return p.select("sample_id", C.r6(F.col("x.a.start")).alias("start"), C.r6(C.interval_iou(*ends)).alias("iou"), C.r6(C.center_gap(*ends)).alias("gap"))
 
 
 def match_pairs(spark, sf_dir):
-    m = _paired(spark, sf_dir).select("sample_id", F.explode(losses.match_intervals(F.col("origin"), F.col("warped"))).alias("p"))
+    m = _paired(scored(spark, sf_dir)).select("sample_id", F.explode(losses.match_intervals(F.col("origin"), F.col("warped"))).alias("p"))
     return m.select("sample_id", F.col("p.origin").cast("bigint").alias("origin"), F.col("p.warped").cast("bigint").alias("warped"))
 
 
@@ -364,14 +365,14 @@ def _anchored(a: DataFrame) -> Column:
 
 
 def gt_anchored(spark, sf_dir):
-    a = _augmented_scores(spark, sf_dir)
+    a = _augmented_scores(scored(spark, sf_dir))
     t = a.select("sample_id", F.posexplode(_anchored(a)).alias("k", "x"))
     return t.select("sample_id", F.col("k").cast("bigint").alias("k"), C.r6(F.col("x")).alias("term"))
 
 
-def _consistency(spark, sf_dir) -> DataFrame:
-    """bc_mask and bc_int of every sample; bc_int is null where there is no term."""
-    p = _paired(spark, sf_dir)
+def _consistency(s: DataFrame) -> DataFrame:
+    """Adds bc_mask and bc_int to scored samples; bc_int is null where there is no term."""
+    p = _paired(s)
     p = p.withColumn("pairs", losses.match_intervals(F.col("origin"), F.col("warped")))
     warped_mask = losses.warp_to_source(F.col("aug_pp"), F.col("transform.kind"), F.col("n"))
     anchored = _anchored(p)
@@ -380,14 +381,14 @@ def _consistency(spark, sf_dir) -> DataFrame:
 
 
 def boundary_consistency(spark, sf_dir):
-    c = _consistency(spark, sf_dir).select("bc_mask", "bc_int")
+    c = _consistency(scored(spark, sf_dir)).select("bc_mask", "bc_int")
     m, i = F.coalesce(F.avg("bc_mask"), F.lit(0.0)), F.coalesce(F.avg("bc_int"), F.lit(0.0))
     return c.agg(C.r6(m + i).alias("bc"), C.r6(m).alias("bc_mask"), C.r6(i).alias("bc_int"))
 
 
-def _segment_rows(s: DataFrame) -> DataFrame:
+def _segment_rows(s: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """True segments with closed-form head outputs: type_logits, conf_logit, attributes, and their targets."""
-    e = segments.exploded(s.select("sample_id", "z", "segments"))
+    e = segments.exploded(s.select("sample_id", "z", "segments", *(keys or [])))
     m = A.mean(A.cut(F.col("z"), F.col("start"), F.col("end")))
     e = e.withColumns({"m": m, "type": F.col("start") % 4, "target": targets.evidence_targets(F.col("z"), F.col("start"), F.col("end"))})
     logits = F.array(*(F.col("m") * (j - 1.5) + 0.1 * (F.col("k") % (j + 2)) for j in range(4)))
@@ -422,32 +423,42 @@ def temporal_tv(spark, sf_dir):
 
 
 def _batch_losses(s: DataFrame, keys: list[str]) -> DataFrame:
-    """Point, boundary, interval, type, evidence and smoothness losses of each group of samples."""
+    """All losses but the cross-modal one, of each group of samples. ``s`` should be stored: it is read for the samples and for their segments."""
     a, b = segments.boundary_targets(F.col("segments"), F.col("n"))
-    per = s.withColumns({"start_target": a, "end_target": b}).select(
+    per = _consistency(s).withColumns({"start_target": a, "end_target": b}).select(
         *keys, "n", losses.bce_sum(F.col("pl"), F.col("mask")).alias("point"), losses.bce_sum(F.col("sl"), F.col("start_target")).alias("start"), losses.bce_sum(F.col("el"), F.col("end_target")).alias("end"),
-        losses.variation(F.col("pp")).alias("tv"), A.total(losses.segment_interval_terms(F.col("sp"), F.col("ep"), F.col("segments"), F.col("n"))).alias("interval"), F.size("segments").alias("k"),
+        losses.variation(F.col("pp")).alias("tv"), A.total(losses.segment_interval_terms(F.col("sp"), F.col("ep"), F.col("segments"), F.col("n"))).alias("interval"), F.size("segments").alias("k"), "bc_mask", "bc_int",
     )
     n, k = F.greatest(F.sum("n").cast("double"), F.lit(1.0)), F.greatest(F.sum("k").cast("double"), F.lit(1.0))
-    main = per.groupBy(*keys).agg((F.sum("point") / n).alias("point"), ((F.sum("start") + F.sum("end")) / n).alias("seg_boundary"), (F.sum("interval") / k).alias("seg_interval"), (F.sum("tv") / F.greatest(F.sum(F.col("n") - 1).cast("double"), F.lit(1.0))).alias("tv"))
-    rows = _segment_rows(s).join(s.select("sample_id", *(c for c in keys if c != "sample_id")), "sample_id") if keys else _segment_rows(s)
+    both = F.coalesce(F.avg("bc_mask"), F.lit(0.0)).alias("bc_mask"), F.coalesce(F.avg("bc_int"), F.lit(0.0)).alias("bc_int")
+    main = per.groupBy(*keys).agg((F.sum("point") / n).alias("point"), ((F.sum("start") + F.sum("end")) / n).alias("seg_boundary"), (F.sum("interval") / k).alias("seg_interval"), (F.sum("tv") / F.greatest(F.sum(F.col("n") - 1).cast("double"), F.lit(1.0))).alias("tv"), *both)
+    rows = _segment_rows(s, keys)
     conf, attr = _evidence_losses()
     heads = rows.groupBy(*keys).agg(losses.masked_mean(losses.cross_entropy(F.col("type_logits"), F.col("type")), F.lit(1.0)).alias("type"), conf.alias("evidence_conf"), attr.alias("evidence_attr"))
     joined = main.join(heads, keys, "left") if keys else main.crossJoin(heads)  # one row each
     return joined.fillna(0.0, ["type", "evidence_conf", "evidence_attr"])
 
 
-def total_loss(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    c = _consistency(spark, sf_dir).agg(F.coalesce(F.avg("bc_mask"), F.lit(0.0)).alias("bc_mask"), F.coalesce(F.avg("bc_int"), F.lit(0.0)).alias("bc_int"))
-    cons = embedding_pairs(spark, sf_dir).agg(F.avg(losses.mean_squared(F.col("text"), F.col("image"))).alias("cons"))
-    # each side is one row of aggregates
-    rows = _batch_losses(s, []).crossJoin(c).crossJoin(cons)
+LOSSES = ("point", "seg", "seg_boundary", "seg_interval", "type", "evidence", "evidence_conf", "evidence_attr", "bc", "bc_mask", "bc_int", "cons", "tv")
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """Adds the losses that are sums of others, and the weighted total."""
     col = F.col
     rows = rows.withColumns({"seg": col("seg_boundary") + col("seg_interval"), "evidence": col("evidence_conf") + col("evidence_attr"), "bc": col("bc_mask") + col("bc_int")})
-    loss = losses.weighted_total(losses.LossWeights(), *(col(x) for x in ("point", "seg", "type", "evidence", "bc", "cons", "tv")))
-    names = ("point", "seg", "seg_boundary", "seg_interval", "type", "evidence", "evidence_conf", "evidence_attr", "bc", "bc_mask", "bc_int", "cons", "tv")
-    return rows.select(C.r6(loss).alias("loss"), *(C.r6(col(x)).alias(x) for x in names))
+    return rows.withColumn("loss", losses.weighted_total(losses.LossWeights(), *(col(x) for x in ("point", "seg", "type", "evidence", "bc", "cons", "tv"))))
+
+
+def _divergences(spark, sf_dir) -> DataFrame:
+    return embedding_pairs(spark, sf_dir).select("sample_id", losses.mean_squared(F.col("text"), F.col("image")).alias("mse"))
+
+
+def total_loss(spark, sf_dir):
+    s = stored(scored(spark, sf_dir), "scored")
+    cons = _divergences(spark, sf_dir).agg(F.avg("mse").alias("cons"))
+    # each side is one row of aggregates
+    rows = _totals(_batch_losses(s, []).crossJoin(cons))
+    return rows.select(C.r6(F.col("loss")).alias("loss"), *(C.r6(F.col(x)).alias(x) for x in LOSSES))
 
 
 # --- metrics and evidence -----------------------------------------------------
@@ -481,17 +492,20 @@ def event_f1(spark, sf_dir):
 def _validated(spark, sf_dir) -> DataFrame:
     """Metrics and losses of each batch."""
     s = scored(spark, sf_dir)
-    batched = s.join(targets.assign_batches(s.select("sample_id"), BATCH), "sample_id")
-    c = _event_counts(batched).withColumn("c", metrics.point_counts(F.col("pp"), F.col("mask")))
+    batched = stored(s.join(targets.assign_batches(s.select("sample_id"), BATCH), "sample_id"), "scored-batches")
+    c = _event_counts(batched).withColumn("c", metrics.point_counts(F.col("pp"), F.col("mask"))).join(_divergences(spark, sf_dir), "sample_id", "left")
     point, event = ([f"{kind}_{x}" for x in ("precision", "recall", "f1")] for kind in ("point", "event"))
     scores = [x.alias(n) for n, x in zip(point + event, (*C.f1_scores(*(F.sum(f"c.{k}") for k in ("tp", "fp", "fn"))), *C.f1_scores(*(F.sum(f"e.{k}") for k in ("tp", "fp", "fn")))), strict=True)]
-    return c.groupBy("batch_id").agg(*scores).join(_batch_losses(batched, ["batch_id"]), "batch_id")
+    # a batch without an embedding pair has no divergence
+    measured = c.groupBy("batch_id").agg(*scores, F.coalesce(F.avg("mse"), F.lit(0.0)).alias("cons"))
+    return _totals(measured.join(_batch_losses(batched, ["batch_id"]), "batch_id"))
 
 
-VALIDATED = ("point_precision", "point_recall", "point_f1", "event_precision", "event_recall", "event_f1", "point", "seg_boundary", "seg_interval", "type", "evidence_conf", "evidence_attr", "tv")
+VALIDATED = ("point_precision", "point_recall", "point_f1", "event_precision", "event_recall", "event_f1", "loss", *LOSSES)
 
 
 def validate_batches(spark, sf_dir):
+    """The mean of each metric and loss over the batches."""
     return _validated(spark, sf_dir).agg(F.count("*").alias("steps"), *(C.r6(F.avg(c)).alias(c) for c in VALIDATED))
 
 
@@ -513,7 +527,7 @@ def evidence_records(spark, sf_dir):
 
 def _summaries(spark, sf_dir) -> DataFrame:
     s = scored(spark, sf_dir)
-    e = embedding_pairs(spark, sf_dir).select("sample_id", losses.mean_squared(F.col("text"), F.col("image")).alias("mse"))
+    e = _divergences(spark, sf_dir)
     base = s.select("sample_id").join(e, "sample_id", "left")
     return evidence.complete(base, evidence.summarize(_evidences(s)), F.col("mse"))
 
@@ -559,3 +573,17 @@ def epoch_merge(spark, sf_dir):
 def package(spark, sf_dir) -> DataFrame:
     """Nested evidence packages of every series: the flagship result."""
     return evidence.packages(_summaries(spark, sf_dir))
+
+
+def package_evidence(spark, sf_dir):
+    """The evidence lists of the packages as rows, each with the length of its package's summary vector."""
+    p = package(spark, sf_dir).select("id", F.size("q").cast("bigint").alias("n_q"), F.posexplode("evidence").alias("k", "e"))
+    numbers = (C.r6(F.col(c)).alias(n) for c, n in (("e.confidence", "confidence"), ("e.attributes.peak_amplitude", "peak_amplitude"), ("e.attributes.mean_deviation", "mean_deviation")))
+    return p.select("id", "n_q", F.col("k").cast("bigint").alias("k"), *(F.col(f"e.{c}").cast("bigint").alias(c) for c in ("start", "end", "type")), "e.type_name", F.col("e.attributes.length").cast("bigint").alias("length"), *numbers)
+
+
+def package_summary(spark, sf_dir):
+    """The summaries of the packages: what stands in the nested summary and in the vector."""
+    p = package(spark, sf_dir)
+    kinds = (F.col(f"summary.type_distribution.{t}.count").cast("bigint").alias(f"count_{t}") for t in taxonomy.TYPES)
+    return p.select("id", F.size("evidence").cast("bigint").alias("n_evidence"), F.col("summary.anomaly_count").cast("bigint").alias("anomaly_count"), *kinds, *(C.r6(F.get("q", i)).alias(f"q_{c}") for i, c in enumerate(evidence.Q)))
