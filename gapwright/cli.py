@@ -1,4 +1,4 @@
-"""Command line: convert a corpus, predict packages, train heads, draw curves."""
+"""Command line: generate or convert a corpus, predict packages, train heads, draw curves."""
 
 from __future__ import annotations
 
@@ -36,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     t = sub.add_parser("train", help="fit and evaluate the heads")
     t.add_argument("--samples", required=True)
     t.add_argument("--output", required=True)
+    m = sub.add_parser("generate", help="write a labelled corpus of generated series and their images")
+    m.add_argument("--target", required=True)
+    m.add_argument("--train", type=int, default=16)
+    m.add_argument("--val", type=int, default=4)
+    m.add_argument("--length", type=int, default=256)
+    m.add_argument("--seed", type=int, default=2026)
     g = sub.add_parser("curves", help="draw a history")
     g.add_argument("--history", required=True)
     g.add_argument("--output", required=True)
@@ -54,6 +60,9 @@ def main(args: list[str] | None = None) -> None:
         counts = flows.convert(spark, paths.corpus_root(a.source, a.dataset), a.target, tuple(a.splits), a.max_samples, a.replace)
         settings.write_json({r["split"]: r.asDict() for r in counts.collect()}, f"{a.target}.summary.json")
         return
+    if a.command == "generate":
+        flows.generate(spark, a.target, {"train": a.train, "val": a.val}, a.length, seed=a.seed)
+        return
     if a.command == "curves":
         curves.save_curves(records.read_history(spark, a.history), a.output, include_bc=a.bc)
         return
@@ -64,7 +73,9 @@ def main(args: list[str] | None = None) -> None:
         size = tuple(cfg["data"]["image_size"])
         weights, _ = network.load_weights(a.weights)
         rows = flows.with_image_paths(rows, cfg["data"]["raw_dataset_root"] or a.images)
-        packages = flows.predict(rows, images.load_views(spark, a.images, size), weights, size, cfg["data"]["local_window"], a.sample_id)
+        # one sample's images are read alone; it has one in each split at most
+        wanted = a.images if a.sample_id is None else [r.image_path for r in rows.where(F.col("sample_id") == a.sample_id).select("image_path").distinct().collect()]
+        packages = flows.predict(rows, images.load_views(spark, wanted, size), weights, size, cfg["data"]["local_window"], a.sample_id)
         records.write_predictions(packages, a.output)
         return
     ready = preprocess(rows.withColumn("series", F.transform("series", lambda x: x.cast("double"))), window=cfg["data"]["local_window"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,19 @@ from ..functions.scalar import f1_scores, sigmoid
 from ..operators import decode, evidence, losses, metrics, segments
 from ..operators.preprocess import preprocess
 from ..scoring import heads, network
-from ..sources import images, paths
+from ..sources import generator, images, paths
 from ..sources import samples as corpus
 
 
 def convert(spark: SparkSession, source: str, target: str, splits: tuple[str, ...] = ("train", "val", "test"), max_samples: int | None = None, replace: bool = False) -> DataFrame:
-    """Raw splits under ``source`` to Parquet under ``target``, unless it is there; returns the counts of each split."""
+    """Raw splits under ``source`` to Parquet under ``target``, unless train and val have samples there; returns the counts of each split."""
+    if not replace and all(corpus.has_samples(spark, target, s) for s in ("train", "val")):
+        return corpus.conversion_summary(corpus.read_samples(spark, target, list(splits)))
     rows = None
     for split in splits:
         one = corpus.convert(corpus.read_split(spark, source, split, max_samples))
         rows = one if rows is None else rows.unionByName(one)
-    corpus.write_samples(rows, target, replace)
+    corpus.write_samples(rows, target, True)
     return corpus.conversion_summary(corpus.read_samples(spark, target, list(splits)))
 
 
@@ -27,6 +31,21 @@ def with_image_paths(samples: DataFrame, root: str | None) -> DataFrame:
     return samples.withColumn("image_path", paths.image_path(F.col("image_path"), F.lit(root), F.col("split"), F.col("sample_id")))
 
 
+def generate(spark: SparkSession, target: str, counts: dict[str, int], length: int = 256, noise: float = generator.NOISE, seed: int = 2026) -> DataFrame:
+    """A labelled corpus of generated series: npz samples and drawn images by split under ``target``; returns the files written."""
+    done = None
+    for first, (split, n) in zip(itertools.accumulate(counts.values(), initial=0), counts.items(), strict=False):
+        made = generator.labelled_samples(spark.range(first, first + n).withColumnRenamed("id", "sample_id"), length, noise, seed)
+        rows = made.withColumn("sample_id", F.format_string(f"{split}_%05d", "sample_id")).select(F.lit(split).alias("split"), "sample_id", "series", "mask", "segments", "types")
+        drawn = images.render(rows.select("sample_id", "series"), f"{target}/{paths.IMAGE_FOLDER}/{split}")
+        drawn.write.mode("overwrite").parquet(f"{target}/rendered/{split}")
+        placed = rows.join(spark.read.parquet(f"{target}/rendered/{split}").select("sample_id", "image_path"), "sample_id")
+        cast = placed.select("split", "sample_id", *(F.col(c).cast("array<float>").alias(c) for c in ("series", "mask")), "segments", "types", "image_path")
+        done = cast if done is None else done.unionByName(cast)
+    corpus.write_npz(done, f"{target}/npz").write.mode("overwrite").parquet(f"{target}/written")
+    return spark.read.parquet(f"{target}/written")
+
+
 def predict(samples: DataFrame, views: DataFrame, weights: network.Weights, size: tuple[int, int], window: int = 25, only: str | None = None) -> DataFrame:
     """PackageFrame of samples with resolved image paths. ``only`` is applied before anything is computed."""
     chosen = samples.where(F.col("sample_id") == only) if only else samples

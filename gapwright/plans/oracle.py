@@ -263,6 +263,7 @@ FINAL: dict[str, str] = {
         SELECT *, least(255, b + d - 1) AS e FROM (SELECT sample_id, sample_id * 31 % 4 AS type, 40 + sample_id * 7919 % 136 AS b, 8 + sample_id * 104729 % 24 AS d, (sample_id * 1299709 % 1000) / 1000.0::DOUBLE AS u FROM ids)))""",
     "segment_targets": f"SELECT sample_id, k, s AS start, e AS \"end\", {_r('p', 'peak')}, {_r('m', 'meandev')}, {_r('1 - exp(-(0.5::DOUBLE * p + 0.5::DOUBLE * m))', 'conf')} FROM (SELECT g.sample_id, k, s, e, max(abs(d)) AS p, avg(abs(d)) AS m FROM gt g JOIN qd ON qd.sample_id = g.sample_id AND qd.t BETWEEN g.s AND g.e GROUP BY ALL)",
     "batch_assign": "SELECT sample_id, n, batch_id FROM bi",
+    "batch_shuffle": "SELECT sample_id, n, (row_number() OVER (ORDER BY md5(sample_id || ':17:1')) - 1) // 8 AS batch_id FROM ids",
     "pad_summary": f"SELECT sample_id, batch_id, max(n) OVER b AS padded_length, n AS valid_length, greatest(max(c) OVER b, 1) AS padded_segments, c AS valid_segments, {_r('x', 'series_sum')}, y AS type_sum FROM (SELECT sample_id, batch_id, n, (SELECT count(*) FROM gt WHERE gt.sample_id = bi.sample_id) AS c, (SELECT sum(v) FROM s WHERE s.sample_id = bi.sample_id) AS x, coalesce((SELECT sum(gt.s % 4) FROM gt WHERE gt.sample_id = bi.sample_id), 0)::BIGINT AS y FROM bi) WINDOW b AS (PARTITION BY batch_id)",
     "valid_logits": f"SELECT b.sample_id, b.t, {_r('coalesce(s.v, -1e4)', 'logit')} FROM (SELECT sample_id, unnest(range(m)) AS t FROM (SELECT sample_id, max(n) OVER (PARTITION BY batch_id) AS m FROM bi)) b LEFT JOIN s ON s.sample_id = b.sample_id AND s.t = b.t",
     "decode_refined": f"{SEG} rf",
@@ -314,7 +315,13 @@ FILES: dict[str, str] = {
     "npz_roundtrip": _typed,
     "parquet_roundtrip": f"SELECT {SPLIT} AS split, count(*) AS num_samples, count(*) FILTER (WHERE a > 0) AS num_anomalous FROM (SELECT sample_id, max(mask) AS a FROM s GROUP BY 1) WHERE sample_id % 3 < 2 GROUP BY 1",
     "history_io": f"SELECT epoch, {_r('val_event_f1', 'val_event_f1')}, {_r('train_bc', 'train_bc')} FROM ep",
-    "render_series": "SELECT sample_id::VARCHAR AS sample_id, true AS drawn FROM ids",
+    # rows of pixels of the line in each of 768 columns, from the lowest and highest of the values at their places
+    "render_series": """SELECT sample_id::VARCHAR AS sample_id, x, least(r, p)::BIGINT AS top, least(greatest(r, p) + 1, 383)::BIGINT AS bottom FROM (
+      SELECT sample_id, x, r, coalesce(lag(r) OVER (PARTITION BY sample_id ORDER BY x), r) AS p FROM (
+      SELECT sample_id, x, round_even(383 * (0.95::DOUBLE - 0.9::DOUBLE * CASE WHEN hi > lo THEN (y - lo) / (hi - lo) ELSE 0.5 END), 0) AS r FROM (
+      SELECT *, min(y) OVER (PARTITION BY sample_id) AS lo, max(y) OVER (PARTITION BY sample_id) AS hi FROM (
+      SELECT c.sample_id, x, a.v + (place - floor(place)) * (coalesce(b.v, a.v) - a.v) AS y FROM (SELECT sample_id, x, x * ((n - 1) / 767::DOUBLE) AS place FROM ids, (SELECT unnest(range(768)) AS x)) c
+      JOIN s a ON a.sample_id = c.sample_id AND a.t = floor(place)::BIGINT LEFT JOIN s b ON b.sample_id = c.sample_id AND b.t = floor(place)::BIGINT + 1))))""",
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql(text) for name, text in (FINAL | FILES).items()}

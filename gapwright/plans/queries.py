@@ -240,6 +240,10 @@ def batch_assign(spark, sf_dir):
     return targets.assign_batches(samples(spark, sf_dir).select("sample_id", "n"), BATCH).select("sample_id", "n", "batch_id")
 
 
+def batch_shuffle(spark, sf_dir):
+    return targets.shuffled_batches(samples(spark, sf_dir).select("sample_id", "n"), BATCH, seed=17, epoch=1).select("sample_id", "n", "batch_id")
+
+
 def _collated(spark, sf_dir):
     s = scored(spark, sf_dir).select("sample_id", "n", "series", "mask", "segments", "types")
     return targets.collate(targets.assign_batches(s, BATCH))

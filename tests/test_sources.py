@@ -43,6 +43,34 @@ def test_convert(spark, root):
     assert corpus.read_samples(spark, str(root / "out"), ["val"]).count() == 1
 
 
+def test_convert_again_where_a_split_lacks(spark, root):
+    target = str(root / "again")
+    flows.convert(spark, str(root / "raw"), target, ("val",))
+    assert not corpus.has_samples(spark, target, "train") and corpus.has_samples(spark, target, "val")
+    flows.convert(spark, str(root / "raw"), target, ("train", "val"))
+    assert corpus.read_samples(spark, target).count() == 4
+
+
+def test_generated_corpus(spark, tmp_path):
+    written = flows.generate(spark, str(tmp_path), {"train": 5, "val": 2}, length=128, seed=3)
+    assert {(r.split, r["count"]) for r in written.groupBy("split").count().collect()} == {("train", 5), ("val", 2)}
+    rows = corpus.read_npz(spark, str(tmp_path / "npz")).collect()
+    assert len(rows) == 7 and all(len(r.series) == 128 and len(r.segments) == 1 for r in rows)
+    for r in rows:
+        assert r.image_path.endswith(f"{r.split}/{r.sample_id}.png") and [i for i, m in enumerate(r.mask) if m] == list(range(r.segments[0].start, r.segments[0].end + 1))
+    # one image can be read alone
+    views = images.load_views(spark, [rows[0].image_path], (8, 4)).collect()
+    assert [v.image_path for v in views] == [rows[0].image_path] and len(views[0].pixels) == 32
+
+
+def test_augmented_views(spark):
+    rows = spark.createDataFrame([(1, [0.5] * 64, ("style",)), (2, [0.5] * 64, ("scale",))], "sample_id long, pixels array<float>, transform struct<kind:string>")
+    got = {r.sample_id: r for r in images.augmented_views(rows, seed=4).collect()}
+    assert got[2].aug_pixels == got[2].pixels and got[1].aug_pixels != got[1].pixels
+    assert got[1].aug_pixels == {r.sample_id: r for r in images.augmented_views(rows, seed=4).collect()}[1].aug_pixels
+    assert 0.3 < np.mean(got[1].aug_pixels) < 0.7
+
+
 def test_first_rows_of_a_split(spark, root):
     assert [r.sample_id for r in corpus.read_split(spark, str(root / "raw"), "train", 2).collect()] == ["s1", "s2"]
     assert sorted(r.sample_id for r in corpus.head(corpus.convert(corpus.read_split(spark, str(root / "raw"), "train")), 2).collect()) == ["s0", "s1"]
