@@ -7,7 +7,8 @@ up again. So each occurrence of a word is drawn anew, and a run can be repeated
 rate of 0 the ids are the library's own.
 
 What is remembered of a word are agendas, not draws: the candidates that come up after given
-skips, and the ids if none of them is skipped. All occurrences are tried against these at once.
+skips, and the ids if none of them is skipped. All occurrences are tried against these at once, and
+the agendas of many new words are made at once too, one candidate of each word a step.
 
 No piece of a model used here has a space mark after another character, and none holds a
 character outside the vocabulary, so merges stay within words and words are segmented apart.
@@ -25,6 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,14 @@ OWN_MARK = "\ud800"
 RATE, SEED = 0.1, 17
 #: agendas a worker remembers before it starts afresh
 AGENDAS = 1_000_000
-#: words of a text that are tried at once
+#: words that are tried at once
 BLOCK = 1 << 16
-#: characters of a word up to which its agenda is a plain list
-SHORT = 48
+#: characters of a word up to which its agenda is a plain list, and below which it is remembered
+SHORT, REMEMBERED = 48, 24
+#: candidates of a word that can be told as skipped (bits of a number); occurrences with later skips are drawn alone
+MOST_TOLD = 64
+#: agendas from which they are made together, and the most pieces of the words made together
+TOGETHER, WIDTHS = 24, (6, 8, 10, 13, 17, REMEMBERED + 1)
 _CHUNKS = re.compile(r"\n[^ \n]*| ( *[^ \n]*)").finditer
 
 _segmenters: dict[tuple, "Segmenter"] = {}
@@ -63,12 +69,12 @@ class Segmenter:
         if "\n" in plain:
             raise ValueError("the model must not hold a line end in its pieces")
         self.id = plain
-        #: no piece goes on from a letter to a stop, so the two can be segmented apart
-        self.stops_apart = not any(a.isalpha() and b in ".," for p in plain for a, b in zip(p, p[1:], strict=False))
         #: the place in merge order: higher scores first
         self.none = float("inf")
         self.rank = {p: -model.get_score(i) for p, i in plain.items() if len(p) > 1}
         self.salt = {p: i * 0xC2B2AE35 & 0xFFFFFFFF for p, i in plain.items()}
+        self.size = n
+        self.pairs = _Pairs(plain, self.rank, n)
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.threshold = int(rate * 2**32)
         self.seed = seed
@@ -207,10 +213,10 @@ class Segmenter:
 
     def _draw(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each by its key, and how many of each. The first candidate skipped leads to the agenda after that skip, which is tried in turn."""
-        if len(self.words.skipped) > AGENDAS:
+        if len(self.words.count) > AGENDAS:
             self.words = _Words(self)
         words = self.words
-        at = np.fromiter(map(words.__getitem__, chunks), np.int64, len(chunks))
+        at = words.numbers(chunks)
         left = np.arange(len(chunks) if self.threshold else 0)
         while len(left):
             which, number = words.first_skips(at[left], keys[left], self.threshold)
@@ -241,57 +247,204 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class _Pairs:
+    """The pieces that two neighbours merge to, for arrays of neighbours; symbols as ids, those outside the vocabulary from ``size`` on."""
+
+    NONE, BITS = np.int32(2**31 - 1), 20
+
+    def __init__(self, plain: dict[str, int], rank: dict[str, float], size: int):
+        self.size = size
+        self.of_char = np.arange(size, size + 0x110000, dtype=np.int32)
+        for p, i in plain.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        # merge order as whole numbers; equal scores stay equal
+        place = {r: k for k, r in enumerate(sorted(set(rank.values())))}
+        self.order = np.full(size + 1, self.NONE, np.int32)
+        for p, r in rank.items():
+            self.order[plain[p]] = place[r]
+        every = {plain[p[:c]] << 32 | plain[p[c:]]: plain[p] for p in rank for c in range(1, len(p)) if p[:c] in plain and p[c:] in plain}
+        # open addressing; a slot that is free has no key
+        self.keys, self.merged = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, size, np.int32)
+        keys, merged = np.fromiter(every, np.int64, len(every)), np.fromiter(every.values(), np.int32, len(every))
+        if len(every) > 1 << self.BITS - 1:
+            raise ValueError("the model has too many merges")
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.merged[slot[free]] = keys[free], merged[free]
+            left = self.keys[slot] != keys
+            keys, merged, slot = keys[left], merged[left], (slot[left] + 1) & (1 << self.BITS) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_GOLDEN) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids of the merged pieces; ``size`` where there is none. A negative id is no neighbour."""
+        keys = a.astype(np.int64) << 32 | b
+        keys[(a < 0) | (b < 0)] = -2
+        slot = self._slot(keys)
+        out, found = self.merged[slot], self.keys[slot]
+        out[found != keys] = self.size
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (1 << self.BITS) - 1
+            found = self.keys[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.merged[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class _Words(dict):
-    """Numbers of words' agendas, made when first met. Number 0 stands for words too long to be remembered."""
+    """Numbers of words' agendas, made when first met. Number 0 stands for words that aren't remembered."""
 
     def __init__(self, segmenter: Segmenter):
         self.segmenter = segmenter
-        self.stops = {c: segmenter.id[c] for c in ".," if c in segmenter.id}
-        #: by agenda: numbers of the skips before; where its candidates, its ids if nothing more is skipped and its ways on begin; counts of candidates and ids
-        self.skipped: list[tuple[int, ...]] = [()]
+        #: by agenda: which candidates were skipped before, as bits, and the number of the next; where its candidates, its ids if nothing more is skipped and its ways on begin; counts of candidates and ids
+        self.told, self.next = array("Q", [0]), array("q", [0])
         self.start, self.count, self.id_start, self.id_count, self.way = (array("q", [0]) for _ in range(5))
         self.candidates, self.ids = array("I"), array(segmenter.code)
         #: the agenda after each candidate is skipped, or -1
         self.ways = array("q")
 
-    def __missing__(self, chunk: str) -> int:
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.get, chunks, repeat(-1)), np.int64, len(chunks))
+        miss = np.flatnonzero(at < 0).tolist()
+        if miss:
+            new = [c for c in dict.fromkeys(map(chunks.__getitem__, miss)) if len(c) < REMEMBERED]
+            self.update(zip(new, self._add(new, np.zeros(len(new), np.uint64), np.zeros(len(new), np.int64)).tolist(), strict=True))
+            at[miss] = [self.get(chunks[i], 0) for i in miss]
+        return at
+
+    def _add(self, chunks: list[str], told: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """Numbers of new agendas of ``chunks`` after the skips ``told``; candidates from number ``following`` on are new."""
+        n = len(chunks)
+        if not n:
+            return np.zeros(0, np.int64)
+        tried, n_tried, ids, n_ids = (self._one_by_one if n < TOGETHER else self._together)(chunks, told)
+        # candidates before the last skip belong to agendas before this one
+        first = np.cumsum(n_tried) - n_tried
+        count = n_tried - following
+        new = tried[np.repeat(first + following, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        number = len(self.count)
+        for to, values in (
+            (self.told, told.astype(np.uint64)), (self.next, following), (self.start, len(self.candidates) + np.cumsum(count) - count), (self.count, count),
+            (self.id_start, len(self.ids) + np.cumsum(n_ids) - n_ids), (self.id_count, n_ids), (self.way, len(self.ways) + np.cumsum(count) - count),
+            (self.candidates, new.astype(np.uint32)), (self.ids, ids.astype(self.segmenter.code)), (self.ways, np.full(count.sum(), -1)),
+        ):
+            to.frombytes(np.ascontiguousarray(values).tobytes())
+        return np.arange(number, number + n)
+
+    def _one_by_one(self, chunks: list[str], told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        s, every, ids = self.segmenter, [], []
+        for chunk, bits in zip(chunks, told.tolist(), strict=True):
+            tried: list[int] = []
+            ids.append(np.frombuffer(s.coded(s._merge_short(s.symbols(chunk), 0, tuple(k for k in range(MOST_TOLD) if bits >> k & 1), tried)), s.code))
+            every.append(np.array(tried, np.int64))
+        return np.concatenate(every), np.array([len(x) for x in every]), np.concatenate(ids), np.array([len(x) for x in ids])
+
+    def _together(self, chunks: list[str], told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates (what they bring to the hash) and ids of all chunks, and how many of each."""
         s = self.segmenter
-        if s.stops_apart and chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and (base := self[chunk[:-1]]):
-            first = self.id_start[base]
-            number = self._add([*self.ids[first : first + self.id_count[base]], self.stops[chunk[-1]]], (), self.start[base], self.count[base])
-        else:
-            number = self._agenda(chunk, ()) if len(chunk) < SHORT else 0
-        self[chunk] = number
-        return number
-
-    def _add(self, ids, skipped: tuple[int, ...], start: int, count: int) -> int:
-        self.id_start.append(len(self.ids))
-        self.id_count.append(len(ids))
-        self.ids.extend(ids)
-        self.way.append(len(self.ways))
-        self.ways.extend([-1] * count)
-        self.skipped.append(skipped)
-        self.start.append(start)
-        self.count.append(count)
-        return len(self.skipped) - 1
-
-    def _agenda(self, chunk: str, skipped: tuple[int, ...]) -> int:
-        tried: list[int] = []
-        ids = array(self.segmenter.code, self.segmenter.coded(self.segmenter._merge_short(self.segmenter.symbols(chunk), 0, skipped, tried)))
-        start, rest = len(self.candidates), tried[skipped[-1] + 1 :] if skipped else tried
-        self.candidates.extend(rest)
-        return self._add(ids, skipped, start, len(rest))
+        whole = "".join([c if c[:1] == "\n" else " " + c for c in chunks])
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32).copy()
+        own = codes == ord(MARK)
+        codes[codes == 0x20], codes[own] = ord(MARK), ord(OWN_MARK)
+        symbols = s.pairs.of_char[codes]
+        size = np.array([len(c) + (c[:1] != "\n") for c in chunks])
+        first = np.cumsum(size) - size
+        parts: list[tuple[np.ndarray, ...]] = []
+        low = 0
+        for high in WIDTHS:
+            rows = np.flatnonzero((size > low) & (size <= high))
+            low = high
+            if len(rows):
+                at = first[rows][:, None] + np.arange(high)
+                grid = np.where(np.arange(high) < size[rows][:, None], symbols[np.minimum(at, len(symbols) - 1)], -1)
+                parts.append((rows, *self._merge_rows(grid.astype(np.int32), told[rows])))
+        rows = np.concatenate([p[0] for p in parts])
+        back = np.argsort(rows, kind="stable")
+        return *_gathered([(p[1], p[2]) for p in parts], back), *self._coded(*_gathered([(p[3], p[4]) for p in parts], back))
+
+    def _merge_rows(self, piece: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Agendas of rows of symbols (-1 after the last): candidates and their counts, pieces left and their counts. As in _merge_short."""
+        s, pairs = self.segmenter, self.segmenter.pairs
+        n, width = piece.shape
+        done, out = np.zeros((n, width), np.int32), np.full(n, -1)
+        tried, n_tried = np.zeros((n, 2 * width + MOST_TOLD), np.uint32), np.zeros(n, np.int64)
+        row, place, column = np.arange(n), np.broadcast_to(np.arange(width, dtype=np.int32), piece.shape).copy(), np.arange(width)
+        merged = np.full((n, width), pairs.size, np.int32)
+        merged[:, :-1] = pairs.of(piece[:, :-1].ravel(), piece[:, 1:].ravel()).reshape(n, width - 1)
+        order, step = pairs.order[merged], 0
+        while len(row):
+            line = np.arange(len(row))
+            i = order.argmin(axis=1)
+            going = order[line, i] < pairs.NONE
+            if not going.all():
+                end = row[~going]
+                done[end], n_tried[end] = piece[~going], step
+                row, piece, place, merged, order, told, i = (x[going] for x in (row, piece, place, merged, order, told, i))
+                line = line[: len(row)]
+                if not len(row):
+                    break
+            new = merged[line, i]
+            tried[row, step] = place[line, i].astype(np.uint32) * np.uint32(0x9E3779B1) + new.astype(np.uint32) * np.uint32(0xC2B2AE35)
+            skip = (told >> np.uint64(step) & np.uint64(1)).astype(bool) if step < MOST_TOLD else np.zeros(len(row), bool)
+            order[line[skip], i[skip]] = pairs.NONE
+            g = np.flatnonzero(~skip)
+            step += 1
+            if len(g):
+                k = i[g]
+                # what stands after the merged pieces moves up by one
+                after, from_here = column[None, :-1] > k[:, None], column[None, :-1] >= k[:, None]
+                p, q, m, o = piece[g], place[g], merged[g], order[g]
+                mine = np.arange(len(g))
+                p[mine, k] = new[g]
+                p[:, :-1] = np.where(after, p[:, 1:], p[:, :-1])
+                q[:, :-1] = np.where(after, q[:, 1:], q[:, :-1])
+                p[:, -1] = -1
+                m[:, :-1] = np.where(from_here, m[:, 1:], m[:, :-1])
+                o[:, :-1] = np.where(from_here, o[:, 1:], o[:, :-1])
+                right = pairs.of(p[mine, k], p[mine, np.minimum(k + 1, width - 1)])
+                m[mine, k], o[mine, k] = right, pairs.order[right]
+                b = np.flatnonzero(k > 0)
+                left = pairs.of(p[b, k[b] - 1], p[b, k[b]])
+                m[b, k[b] - 1], o[b, k[b] - 1] = left, pairs.order[left]
+                piece[g], place[g], merged[g], order[g] = p, q, m, o
+        there = done >= 0
+        return tried[np.arange(tried.shape[1]) < n_tried[:, None]], n_tried, done[there], there.sum(axis=1)
+
+    def _coded(self, pieces: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces; those outside the vocabulary as bytes."""
+        s = self.segmenter
+        other = np.flatnonzero(pieces >= s.size)
+        if not len(other):
+            return pieces, count
+        text = [chr(c - s.size).replace(OWN_MARK, MARK).encode() for c in pieces[other].tolist()]
+        size = np.ones(len(pieces), np.int64)
+        size[other] = [len(t) for t in text]
+        out, at = np.repeat(pieces, size), np.cumsum(size) - size
+        for a, t in zip(at[other].tolist(), text, strict=True):
+            out[a : a + len(t)] = [s.byte[b] for b in t]
+        return out, np.add.reduceat(size, np.cumsum(count) - count)
 
     def after(self, agendas: np.ndarray, numbers: np.ndarray, chunks: list[str], which: np.ndarray) -> np.ndarray:
-        """The agendas of the same words once these candidates are skipped."""
+        """The agendas of the same words once these candidates are skipped; 0 where the skips can't be told."""
+        if not len(agendas):
+            return agendas
         ways = np.frombuffer(self.way, np.int64)[agendas] + numbers
-        out = np.frombuffer(self.ways, np.int64)[ways] if len(ways) else ways
-        for i in np.flatnonzero(out < 0).tolist():
-            way = int(ways[i])
-            if self.ways[way] < 0:
-                before = self.skipped[agendas[i]]
-                self.ways[way] = self._agenda(chunks[which[i]], (*before, (before[-1] + 1 if before else 0) + int(numbers[i])))
-            out[i] = self.ways[way]
+        out = np.frombuffer(self.ways, np.int64)[ways]
+        number = np.frombuffer(self.next, np.int64)[agendas] + numbers
+        out[number >= MOST_TOLD] = 0
+        way, one = np.unique(ways[out < 0], return_index=True)
+        if len(way):
+            one = np.flatnonzero(out < 0)[one]
+            told = np.frombuffer(self.told, np.uint64)[agendas[one]] | np.uint64(1) << number[one].astype(np.uint64)
+            new = self._add([chunks[i] for i in which[one].tolist()], told, number[one] + 1)
+            np.frombuffer(self.ways, np.int64)[way] = new
+            left = out < 0
+            out[left] = np.frombuffer(self.ways, np.int64)[ways[left]]
         return out
 
     def written(self, agendas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,6 +471,14 @@ class _Words(dict):
         return who[hit], number[hit]
 
 
+def _gathered(parts: list[tuple[np.ndarray, np.ndarray]], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and counts of parts (values, counts) in the order of their rows."""
+    values, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = (np.cumsum(count) - count)[back]
+    count = count[back]
+    return values[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+
+
 def encode_texts(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """key, variant, n_tokens, ids_crc32 (ids as little-endian 32-bit integers), lossless, and with ``ids`` the ids."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.lit(seed)).alias("variant"), F.coalesce(F.col(text), F.lit("")).alias("text"))
