@@ -30,6 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 RATE, SEED = 0.1, 17
 #: agendas a worker remembers before it starts afresh
-AGENDAS = 1_000_000
-#: words that are tried at once
-BLOCK = 1 << 16
+AGENDAS = 600_000
+#: words that are tried at once, and characters of texts that are held as lists of words at once (or one text)
+BLOCK, SLICE = 1 << 16, 1 << 20
 #: characters of a word up to which its agenda is a plain list, and below which it is remembered
 SHORT, REMEMBERED = 48, 24
 #: candidates of a word that can be told as skipped (bits of a number); occurrences with later skips are drawn alone
@@ -484,9 +485,19 @@ def encode_texts(docs: DataFrame, model_file: str, rate: float = RATE, seed: int
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.lit(seed)).alias("variant"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("variant", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("variant")).cast("long"))
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of some SLICE characters, so that what is made of them stays small."""
+        for batch in batches:
+            size = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE, "right")))
+                yield batch.slice(first, last - first)
+                first = last
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter.shared(model_file, rate, seed)
-        for batch in batches:
+        for batch in some(batches):
             size, crc, same, every = [], [], [], []
             texts = batch.column("text").to_pylist()
             for text, own in zip(texts, segmenter.encode_many(texts, batch.column("variant").to_pylist()), strict=True):
