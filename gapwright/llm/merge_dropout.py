@@ -76,7 +76,7 @@ class Segmenter:
         self.salt = {p: i * 0xC2B2AE35 & 0xFFFFFFFF for p, i in plain.items()}
         self.size = n
         self.pairs = _Pairs(plain, self.rank, n)
-        self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = np.array([bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)], object)
         self.threshold = int(rate * 2**32)
         self.seed = seed
         self.code = "H" if n <= 1 << 16 else "I"
@@ -236,7 +236,7 @@ class Segmenter:
 
     def decode(self, ids) -> str:
         """The text; the space that encoding puts in front is taken off."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode()[1:]
+        return b"".join(self.bytes[np.asarray(ids, np.int64)].tolist()).decode()[1:]
 
 
 _ALL, _GOLDEN = 2**64 - 1, 0x9E3779B97F4A7C15
@@ -374,7 +374,7 @@ class _Words(dict):
         n, width = piece.shape
         done, out = np.zeros((n, width), np.int32), np.full(n, -1)
         tried, n_tried = np.zeros((n, 2 * width + MOST_TOLD), np.uint32), np.zeros(n, np.int64)
-        row, place, column = np.arange(n), np.broadcast_to(np.arange(width, dtype=np.int32), piece.shape).copy(), np.arange(width)
+        row, place, column = np.arange(n), np.broadcast_to(np.arange(width, dtype=np.int8), piece.shape).copy(), np.arange(width, dtype=np.int8)
         merged = np.full((n, width), pairs.size, np.int32)
         merged[:, :-1] = pairs.of(piece[:, :-1].ravel(), piece[:, 1:].ravel()).reshape(n, width - 1)
         order, step = pairs.order[merged], 0
@@ -398,7 +398,8 @@ class _Words(dict):
             if len(g):
                 k = i[g]
                 # what stands after the merged pieces moves up by one
-                after, from_here = column[None, :-1] > k[:, None], column[None, :-1] >= k[:, None]
+                here = k[:, None].astype(np.int8)
+                after, from_here = column[None, :-1] > here, column[None, :-1] >= here
                 p, q, m, o = piece[g], place[g], merged[g], order[g]
                 mine = np.arange(len(g))
                 p[mine, k] = new[g]
