@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import itertools
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import f1_scores, sigmoid
 from ..operators import decode, evidence, losses, metrics, segments
 from ..operators.preprocess import preprocess
-from ..scoring import heads, network
-from ..sources import generator, images, paths
+from ..schema import HISTORY
+from ..scoring import heads, network, training
+from ..sources import generator, images, paths, records
 from ..sources import samples as corpus
 
 
@@ -56,6 +58,30 @@ def predict(samples: DataFrame, views: DataFrame, weights: network.Weights, size
     return evidence.packages(evidence.complete(base, evidence.summarize(rows), F.col("_mse")))
 
 
+def train_network(train: DataFrame, val: DataFrame, weights: network.Weights, settings: training.Settings, output: str) -> DataFrame:
+    """Fits the network on samples with pixels; returns the HistoryFrame.
+
+    After each epoch ``output`` holds the last and the best checkpoint (the first epoch with the
+    highest event F1 on ``val``), each with the optimizer's state, and the history.
+    """
+    spark = train.sparkSession
+    fs, base = pafs.FileSystem.from_uri(output)
+    fs.create_dir(base, recursive=True)
+    state, best, rows = training.fresh(weights), float("-inf"), []
+    for epoch in range(1, settings.epochs + 1):
+        weights, state, fitted = training.train_epoch(train, weights, state, settings, epoch)
+        measured = training.validate(val, weights, settings)
+        rate = settings.least_rate + (settings.rate - settings.least_rate) * training.cosine(epoch, settings.epochs)
+        record = {"epoch": epoch, "lr": rate} | {f"train_{k}": v for k, v in fitted.items()} | {f"val_{k}": v for k, v in measured.items()}
+        rows.append(tuple(record[c] for c in HISTORY.names))
+        for name in ["last", "best"] if measured["event_f1"] > best else ["last"]:
+            network.save_weights(weights, f"{output}/{name}.npz", epoch=epoch, **measured)
+            training.save_state(f"{output}/{name}-state.npz", state)
+        best = max(best, measured["event_f1"])
+        records.write_history(spark.createDataFrame(rows, HISTORY), f"{output}/history")
+    return spark.createDataFrame(rows, HISTORY)
+
+
 def feature_points(prepared: DataFrame, *columns: str) -> DataFrame:
     """FeatureFrame of preprocessed samples, with 0/1 targets of their mask and segment ends."""
     n = F.size("series").cast("bigint")
