@@ -83,3 +83,8 @@ def test_the_rest_stands_alone(tmp_path):
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'zscore' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_network_epoch(spark):
+    row = QUERIES["network_epoch"](spark, TINY).head()
+    assert row.steps == 1 and row.val_bc == 0.0 and row.train_loss > row.train_point > 0
