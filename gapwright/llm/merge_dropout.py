@@ -369,51 +369,47 @@ class _Words(dict):
         return *_gathered([(p[1], p[2]) for p in parts], back), *self._coded(*_gathered([(p[3], p[4]) for p in parts], back))
 
     def _merge_rows(self, piece: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Agendas of rows of symbols (-1 after the last): candidates and their counts, pieces left and their counts. As in _merge_short."""
-        s, pairs = self.segmenter, self.segmenter.pairs
+        """Agendas of rows of symbols (-1 after the last): candidates and their counts, pieces left and their counts. As in _merge_short.
+
+        A piece stays in the column of its first symbol and is linked to its neighbours; the column behind the last is what both ends link to.
+        """
+        pairs = self.segmenter.pairs
         n, width = piece.shape
-        done, out = np.zeros((n, width), np.int32), np.full(n, -1)
+        done = np.full((n, width + 1), -1, np.int32)
         tried, n_tried = np.zeros((n, 2 * width + MOST_TOLD), np.uint32), np.zeros(n, np.int64)
-        row, place, column = np.arange(n), np.broadcast_to(np.arange(width, dtype=np.int8), piece.shape).copy(), np.arange(width, dtype=np.int8)
-        merged = np.full((n, width), pairs.size, np.int32)
-        merged[:, :-1] = pairs.of(piece[:, :-1].ravel(), piece[:, 1:].ravel()).reshape(n, width - 1)
+        row, piece = np.arange(n), np.pad(piece, ((0, 0), (0, 1)), constant_values=-1)
+        after = np.tile(np.minimum(np.arange(1, width + 2), width), (n, 1))
+        before = np.tile(np.roll(np.arange(width + 1), 1), (n, 1))
+        merged = np.full((n, width + 1), pairs.size, np.int32)
+        merged[:, :-1] = pairs.of(piece[:, :-1].ravel(), piece[:, 1:].ravel()).reshape(n, width)
         order, step = pairs.order[merged], 0
-        while len(row):
-            line = np.arange(len(row))
+        while True:
             i = order.argmin(axis=1)
-            going = order[line, i] < pairs.NONE
-            if not going.all():
-                end = row[~going]
-                done[end], n_tried[end] = piece[~going], step
-                row, piece, place, merged, order, told, i = (x[going] for x in (row, piece, place, merged, order, told, i))
-                line = line[: len(row)]
-                if not len(row):
+            g = np.flatnonzero(order[np.arange(len(row)), i] < pairs.NONE)
+            if 4 * len(g) <= 3 * len(row):
+                ended = np.ones(len(row), bool)
+                ended[g] = False
+                done[row[ended]] = piece[ended]
+                if not len(g):
                     break
-            new = merged[line, i]
-            tried[row, step] = place[line, i].astype(np.uint32) * np.uint32(0x9E3779B1) + new.astype(np.uint32) * np.uint32(0xC2B2AE35)
-            skip = (told >> np.uint64(step) & np.uint64(1)).astype(bool) if step < MOST_TOLD else np.zeros(len(row), bool)
-            order[line[skip], i[skip]] = pairs.NONE
-            g = np.flatnonzero(~skip)
-            step += 1
-            if len(g):
-                k = i[g]
-                # what stands after the merged pieces moves up by one
-                here = k[:, None].astype(np.int8)
-                after, from_here = column[None, :-1] > here, column[None, :-1] >= here
-                p, q, m, o = piece[g], place[g], merged[g], order[g]
-                mine = np.arange(len(g))
-                p[mine, k] = new[g]
-                p[:, :-1] = np.where(after, p[:, 1:], p[:, :-1])
-                q[:, :-1] = np.where(after, q[:, 1:], q[:, :-1])
-                p[:, -1] = -1
-                m[:, :-1] = np.where(from_here, m[:, 1:], m[:, :-1])
-                o[:, :-1] = np.where(from_here, o[:, 1:], o[:, :-1])
-                right = pairs.of(p[mine, k], p[mine, np.minimum(k + 1, width - 1)])
-                m[mine, k], o[mine, k] = right, pairs.order[right]
-                b = np.flatnonzero(k > 0)
-                left = pairs.of(p[b, k[b] - 1], p[b, k[b]])
-                m[b, k[b] - 1], o[b, k[b] - 1] = left, pairs.order[left]
-                piece[g], place[g], merged[g], order[g] = p, q, m, o
+                row, piece, after, before, merged, order, told, i = (x[g] for x in (row, piece, after, before, merged, order, told, i))
+                g = np.arange(len(row))
+            k = i[g]
+            new = merged[g, k]
+            tried[row[g], step] = k.astype(np.uint32) * np.uint32(0x9E3779B1) + new.astype(np.uint32) * np.uint32(0xC2B2AE35)
+            n_tried[row[g]] = step = step + 1
+            if step <= MOST_TOLD:
+                skip = (told[g] >> np.uint64(step - 1) & np.uint64(1)).astype(bool)
+                order[g[skip], k[skip]] = pairs.NONE
+                g, k, new = g[~skip], k[~skip], new[~skip]
+            gone, left = after[g, k], before[g, k]
+            right = after[g, gone]
+            piece[g, k], piece[g, gone], order[g, gone] = new, -1, pairs.NONE
+            after[g, k], before[g, right] = right, k
+            # the merged piece with the next one, and the one before with it
+            found = pairs.of(np.concatenate([new, piece[g, left]]), np.concatenate([piece[g, right], new]))
+            at = np.concatenate([g, g]), np.concatenate([k, left])
+            merged[at], order[at] = found, pairs.order[found]
         there = done >= 0
         return tried[np.arange(tried.shape[1]) < n_tried[:, None]], n_tried, done[there], there.sum(axis=1)
 
