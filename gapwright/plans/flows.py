@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..schema import HISTORY
 from ..scoring import heads, network, training
 from ..sources import generator, images, paths, records
 from ..sources import samples as corpus
+from ..storage import stored
 
 
 def convert(spark: SparkSession, source: str, target: str, splits: tuple[str, ...] = ("train", "val", "test"), max_samples: int | None = None, replace: bool = False) -> DataFrame:
@@ -48,13 +50,19 @@ def generate(spark: SparkSession, target: str, counts: dict[str, int], length: i
     return spark.read.parquet(f"{target}/written")
 
 
-def predict(samples: DataFrame, views: DataFrame, weights: network.Weights, size: tuple[int, int], window: int = 25, only: str | None = None) -> DataFrame:
-    """PackageFrame of samples with resolved image paths. ``only`` is applied before anything is computed."""
+def predict(samples: DataFrame, views: DataFrame | Callable[[DataFrame], DataFrame], weights: network.Weights, size: tuple[int, int], window: int = 25, only: str | None = None) -> DataFrame:
+    """PackageFrame of samples with resolved image paths. ``only`` is applied before anything is computed.
+
+    ``views`` are joined by path, or are a function that adds ``pixels``. Evidences are stored: summaries and packages
+    read them again, and each series is scored once.
+    """
     chosen = samples.where(F.col("sample_id") == only) if only else samples
     prepared = preprocess(chosen.withColumn("series", F.transform("series", lambda x: x.cast("double"))), window=window)
-    scored = network.score(images.with_views(prepared, views), weights, size)
+    seen = views(prepared) if callable(views) else images.with_views(prepared, views)
+    mse = losses.mean_squared(F.col("text_evidence"), F.col("image_evidence")).alias("_mse")
+    scored = stored(network.score(seen, weights, size).select("sample_id", "evidences", mse), "scored")
     rows = scored.select("sample_id", F.explode("evidences").alias("e")).select("sample_id", "e.*")
-    base = scored.select("sample_id", losses.mean_squared(F.col("text_evidence"), F.col("image_evidence")).alias("_mse"))
+    base = scored.select("sample_id", "_mse")
     return evidence.packages(evidence.complete(base, evidence.summarize(rows), F.col("_mse")))
 
 
